@@ -1,0 +1,11 @@
+"""Named queries and their DuckDB equivalents."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
