@@ -71,7 +71,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`")
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("_id"),
-        F.xxhash64(text).alias("_fp"),
+        F.shiftright(F.xxhash64(text), 32).cast("int").alias("_fp"),
         text.alias("_text"),
     )
 

@@ -84,7 +84,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[spot]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["_id", "_fp", "hashes"])
 
-    grams = keyed.mapInArrow(roll, "_id long, _fp long, hashes array<long>").select("_id", "_fp", F.posexplode("hashes").alias("pos", "hash"))
+    grams = keyed.mapInArrow(roll, "_id long, _fp int, hashes array<long>").select("_id", "_fp", F.posexplode("hashes").alias("pos", "hash"))
     votes = grams.join(F.broadcast(where), "hash").groupBy("_id", "_fp", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     line = Window.partitionBy("_id", "_fp", "template").orderBy("diagonal")
     spans = (

@@ -105,7 +105,7 @@ def hot_minimisers(keyed: DataFrame, cut: Cut) -> tuple[np.ndarray, int]:
     total = sums.where("is_size").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(64, -(-3 * total // BLOCK_BYTES))
     windows = total / (6 if cut.words else 1)
-    usual = max(8, 2 * windows / (cut.k - cut.m) / blocks / 8)  # an eighth of a block
+    usual = max(8, 2 * windows / (cut.k - cut.m) / blocks / 2)  # half a block
     counts = sums.where(~F.col("is_size") & (F.col("n") > usual))
     most = counts.count()
     while most > HOT_MOST:  # the bound of the broadcast; what stays out makes its block larger
@@ -118,8 +118,8 @@ def hot_minimisers(keyed: DataFrame, cut: Cut) -> tuple[np.ndarray, int]:
 def _pack(ids, fps, at, wins, tag, strings: list[bytes]) -> bytes:
     lens = np.array([len(s) for s in strings], np.int32)
     head = np.array([len(strings)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(
-        b"".join([head, *(np.ascontiguousarray(x, t).tobytes() for x, t in ((ids, np.int64), (fps, np.int64), (at, np.int64), (wins, np.int32), (tag, np.int32), (lens, np.int32))), *strings])
+    return zstandard.ZstdCompressor(level=3).compress(
+        b"".join([head, *(np.ascontiguousarray(x, t).tobytes() for x, t in ((ids, np.int64), (fps, np.int32), (at, np.int64), (wins, np.int32), (tag, np.int32), (lens, np.int32))), *strings])
     )
 
 
@@ -129,14 +129,14 @@ def unpack(blobs: list[bytes]):
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
-        for col, kind in zip(cols, (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32), strict=True):
+        for col, kind in zip(cols, (np.int64, np.int32, np.int64, np.int32, np.int32, np.int32), strict=True):
             col.append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
         texts.append(raw[at:])
     return [np.concatenate(c) for c in cols], b"".join(texts)
 
 
-_COVER = "_id long, _fp long, _from long, _to long"
+_COVER = "_id long, _fp int, _from long, _to long"
 #: The tag's top bit says that the string is repeated, the rest are bits of its minimiser.
 REPEATED = -(2**31)
 
@@ -180,7 +180,7 @@ def covers(keyed: DataFrame, cut: Cut, solve: Callable) -> DataFrame:
             if not cut.earliest:
                 again += repeated
             kept, again = np.array(kept, np.int64), np.array(again, np.int64)
-            tag = (value & b.U(0x7FFFFFFF)).astype(np.int64)
+            tag = (value & b.U(0 if cut.earliest else 0x7FFFFFFF)).astype(np.int64)
             if not cut.earliest and repeated:
                 tag[list(repeated)] |= REPEATED
             block = (b.mix(value[kept]) % b.U(blocks)).astype(np.int64)
