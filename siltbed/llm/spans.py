@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from siltbed.llm import base as b
 
 #: Most minimisers in the broadcast list (8 bytes each), and packed bytes of a block.
-HOT_MOST, BLOCK_BYTES = 1_000_000, 6 << 20
+HOT_MOST, BLOCK_BYTES = 1_000_000, 7 << 20
 #: Texts worked on at once.
 PART_BYTES = 4 << 20
 
@@ -51,7 +51,7 @@ class Cut:
 
     def parts(self, batches: Iterator[pa.RecordBatch]):
         """(ids, fps, first units, texts) of about PART bytes; a longer text comes in parts that overlap by k - 1 units."""
-        most = PART_BYTES if self.words else PART_BYTES // 2
+        most = PART_BYTES if self.words else PART_BYTES * 3 // 4
         for batch, texts in b.pieces(batches, "_text", most):
             ids, fps = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("_id", "_fp"))
             if len(texts) > 1 or len(texts[0]) <= 2 * most:

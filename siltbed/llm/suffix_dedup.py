@@ -145,7 +145,7 @@ def _repeats(k: int, m: int):
 SORT_BYTES = 1 << 20
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, m: int = 32) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, m: int = 24) -> DataFrame:
     """id, n_bytes, n_removed, spans (removed [from, to) in bytes), kept (binary) for every row of docs."""
     found = covers(b.keyed(docs, id_col, text_col), Cut(length, m, words=False, earliest=False), _repeats(length, m))
 
