@@ -27,26 +27,29 @@ from pyspark.sql import functions as F
 from siltbed.llm import base as b
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " "), lambda w: w != "")
-
+def _plain(text: Column) -> Column:
+    """Lower case, with blanks for all white space but line ends."""
+    text = F.lower(text)
+    for c in "\t\r\x0b\x0c":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
-def _lines(keyed: DataFrame, min_words: int) -> DataFrame:
-    rows = keyed.select("_id", "_fp", F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
-    return rows.select("_id", "_fp", "pos", _words(F.col("line")).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
 
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
-def _hashes() -> list[Column]:
-    return [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.col("words")).alias("h2")]
 
+def _halves() -> tuple[Column, Column]:
+    """A hash of the line, and hashes of its first and last words, half of them.
 
-def _halves() -> Column:
-    """Hashes of the first and last words, half of the line; both roundings, so that lengths n and n + 1 meet."""
+    A line of n words and one of n + 1 must meet, so an even n takes both n / 2 and n / 2 - 1.
+    """
     n = F.col("n")
-    out = []
-    for h in (F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")):
-        out += [F.xxhash64(F.lit(1), h, F.slice("words", F.lit(1), h)), F.xxhash64(F.lit(2), h, F.slice("words", n - h + 1, h))]
-    return F.array_distinct(F.array(*out))
+    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    front = lambda h: F.xxhash64(F.lit(1), h, F.slice("words", F.lit(1), h))
+    back = lambda h: F.xxhash64(F.lit(2), h, F.slice("words", n - h + 1, h))
+    halves = F.when(low == high, F.array(front(low), back(low))).otherwise(F.array(front(low), back(low), front(high), back(high)))
+    return F.xxhash64("words"), halves
 
 
 _PLACE = ("_id", "_fp", "pos")
@@ -64,22 +67,25 @@ def _within_one(x: Column, y: Column) -> Column:
 
 def removed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
     """(_id, _fp, pos) of the lines that go."""
-    lines = _lines(keyed, min_words)
-    hashed = lines.select(*_PLACE, "n", *_hashes(), _halves().alias("halves"))
-    halves = [F.try_element_at("halves", F.lit(i + 1)).alias(f"k{i}") for i in range(4)]
-    distinct = b.written(
-        hashed.select("h1", "h2", "n", *halves, F.struct(*_PLACE).alias("place")).groupBy("h1", "h2", "n", "k0", "k1", "k2", "k3").agg(F.min("place").alias("place")), "lines"
-    )
-    first = distinct.select("h1", "h2", F.col("place").alias("first"))
-    equal = lines.select(*_PLACE, *_hashes()).join(first, ["h1", "h2"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
-
-    by_half = distinct.select("h1", "h2", "place", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half")).where("half is not null")
+    lines = keyed.select("_id", "_fp", F.posexplode(F.transform(F.split(_plain(F.col("_text")), "\n"), _words)).alias("pos", "words"))
+    lines = lines.withColumn("n", F.size("words")).where(F.col("n") >= min_words)
+    whole, halves = _halves()
+    middle = [F.element_at("words", F.floor((F.col("n") + 1) / 2).cast("int")), F.element_at("words", F.floor(F.col("n") / 2).cast("int") + 1)]
+    hashes = lines.select(*_PLACE, whole.alias("h1"), halves.alias("halves"), F.xxhash64("n", *middle).alias("middle"))
+    second = F.xxhash64(F.element_at("halves", 1), F.element_at("halves", 2), "middle")  # with h1, 128 bits of the line
+    hashed = b.written(hashes.select(*_PLACE, "h1", second.alias("h2"), "halves"), "line-hashes")
+    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"))
+    equal = hashed.select(*_PLACE, "h1", "h2").join(first, ["h1", "h2"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
+
+    by_half = hashed.select("h1", F.explode("halves").alias("half"))
     shared = by_half.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("half")
-    near = by_half.join(shared, "half", "left_semi").select("h1", "h2", "place").distinct()
+    near = by_half.join(shared, "half", "left_semi").select("h1").distinct()
+    near = first.join(near, "h1").select("h1", "h2", F.col("first").alias("place"))
     wanted = near.groupBy(F.col("place._id").alias("_id"), F.col("place._fp").alias("_fp")).agg(F.collect_list(F.struct(F.col("place.pos").alias("pos"), "h1", "h2")).alias("wanted"))
-    text = F.split("_text", "\n")
-    rows = keyed.join(wanted, ["_id", "_fp"]).select("_id", "_fp", F.inline(F.transform("wanted", lambda s: F.struct(s.pos.alias("pos"), s.h1.alias("h1"), s.h2.alias("h2"), F.element_at(text, s.pos + 1).alias("line")))))
-    left = b.written(rows.select(F.struct(*_PLACE).alias("place"), "h1", "h2", _words(F.col("line")).alias("words")).dropDuplicates(["h1", "h2"]), "near-lines")
+    text = F.split(_plain(F.col("_text")), "\n")
+    pick = lambda line, i: F.struct(line.alias("line"), F.filter("wanted", lambda x: x.pos == i).alias("s"))
+    rows = keyed.join(wanted, ["_id", "_fp"]).select("_id", "_fp", F.inline(F.transform(text, pick))).where(F.size("s") > 0).select("_id", "_fp", "line", F.inline("s"))
+    left = b.written(rows.select(F.struct(*_PLACE).alias("place"), "h1", "h2", _words(F.col("line")).alias("words")), "near-lines")
 
     # the deletion neighbourhood: XOR of (word, place) before the gap and of (word, place - 1) behind it
     each = left.repartition("h1", "h2").select("h1", "h2", "place", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
@@ -115,10 +121,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.drop("n_lines", "n_removed")
     key = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(b.NULL_ID)).alias("_id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("_fp")]
     joined = own.select("*", *key).join(gone, ["_id", "_fp"], "left")
-    lines = F.split(text, "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     columns = [F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in own.columns]
-    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*columns, F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
