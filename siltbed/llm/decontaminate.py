@@ -22,6 +22,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltbed.llm import base as b
 
@@ -147,15 +148,15 @@ def automata(bench: DataFrame, item_col: str, text_col: str, n: int) -> list[Aut
     return [*out, Automaton(group, n)]
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, max_coverage: float = 0.5) -> DataFrame:
-    """id, n_words, n_hit, items (sorted ids as strings), clean (text without the hit spans; null if the document goes)."""
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, max_coverage: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """id (or the columns of `carry`), n_words, n_hit, items (sorted ids as strings), clean (text without the hit spans; null if the document goes)."""
     spark = docs.sparkSession
     shipped = [spark.sparkContext.broadcast(a) for a in automata(bench, item_col, item_text_col, n)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0), []
-            for text in batch.column(1).to_pylist():
+            ids, rows = batch.columns[:-1], []
+            for text in batch.columns[-1].to_pylist():
                 raw = text.encode() if text else b""
                 words = b.ALNUM.findall(raw.lower())
                 spans, items = [], set()
@@ -178,12 +179,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                 rows.append((len(words), hit, sorted(items), clean))
             n_words, n_hit, found, clean = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(clean, pa.string())],
-                [id_col, "n_words", "n_hit", "items", "clean"],
+                [*ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(clean, pa.string())],
+                [*names, "n_words", "n_hit", "items", "clean"],
             )
 
-    out = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    return out.mapInArrow(scan, f"`{id_col}` long, n_words long, n_hit long, items array<string>, clean string")
+    own = [F.col(f"`{c}`") for c in carry] if carry else [F.col(f"`{id_col}`").cast("long").alias(id_col)]
+    out = docs.select(*own, F.col(f"`{text_col}`").cast("string").alias("_text"))
+    names = out.columns[:-1]
+    more = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, clean string")
+    return out.mapInArrow(scan, T.StructType([*out.schema.fields[:-1], *more.fields]))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
