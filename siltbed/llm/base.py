@@ -84,14 +84,14 @@ def lower_ascii(text: bytes) -> bytes:
     return text.lower()  # bytes.lower() changes A-Z alone
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches cut so that their texts hold about `most` bytes; one longer text stands alone."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
         begin, held = 0, 0
         for i, t in enumerate(texts):
             size = len(t) if t else 0
-            if held and held + size > most:
+            if held and held + size > most or i - begin >= rows:
                 yield batch.slice(begin, i - begin), [x or b"" for x in texts[begin:i]]
                 begin, held = i, 0
             held += size

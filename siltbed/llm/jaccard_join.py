@@ -39,30 +39,34 @@ from siltbed.llm.components import components
 
 #: Entries of each frequency table; sets of a group; members of a chunk.
 SLOTS, GROUP, CHUNK = 1 << 21, 16, 2048
+#: Texts worked on at once.
+ROWS = 4096
 
 
-def shingle_sets(texts: list[bytes], k: int, common: np.ndarray | None = None):
-    """Distinct shingle hashes of all texts (ascending in each), the size of each set; with a table of word frequencies also how common each shingle's words are."""
+def occurrences(texts: list[bytes], k: int):
+    """Of each shingle of at most ROWS texts: its text, 52 bits of hash, its first word among all (-1 for a short text's whole sequence); and the hashes of all words."""
     flat, starts, ends, n = b.joined_words(texts, b.SPACED, lower=True)
     h = b.word_hashes(np.frombuffer(flat, np.uint8), starts, ends)
     first = np.cumsum(n) - n
     size = np.maximum(n - k + 1, 0)
     spot = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
-    doc, value = [np.repeat(np.arange(len(n)), size)], [b.grams(h, k)[spot]]
+    doc, value, word = [np.repeat(np.arange(len(n), dtype=np.uint64), size)], [b.grams(h, k)[spot] >> b.U(12)], [spot]
     for m in range(1, k):  # fewer words: the whole sequence
         rows = np.flatnonzero(n == m)
-        doc.append(rows), value.append(b.mix(b.grams(h, m)[first[rows]] + b.U(m)) if len(rows) else value[0][:0])
-    score = None
-    if common is not None:
-        sums = np.concatenate([[0], np.cumsum(common[(h % b.U(SLOTS)).astype(np.int64)], dtype=np.int64)])
-        score = np.zeros(sum(map(len, value)), np.int64)
-        score[: len(spot)] = sums[spot + k] - sums[spot]
-    doc, value = np.concatenate(doc), np.concatenate(value)
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])]) if len(doc) else np.zeros(0, bool)
-    out = value[new], np.bincount(doc[new], minlength=len(n))
-    return out if common is None else (*out, score[order][new])
+        if len(rows):
+            doc.append(rows.astype(np.uint64)), word.append(np.full(len(rows), -1))
+            value.append(b.mix(b.grams(h, m)[first[rows]] + b.U(m)) >> b.U(12))
+    return np.concatenate(doc), np.concatenate(value), np.concatenate(word), h
+
+
+def shingle_sets(doc: np.ndarray, value: np.ndarray, texts: int):
+    """Distinct hashes (ascending in each text), and how many each text has."""
+    keys = np.unique((doc << b.U(52)) | value)
+    return keys & b.U(2**52 - 1), np.bincount((keys >> b.U(52)).astype(np.int64), minlength=texts)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & b.U(SLOTS - 1)).astype(np.int64)
 
 
 def linked(both, m, n, t: int):
@@ -73,11 +77,11 @@ def _frequencies(keyed: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Tables of twice the log2 of the frequency of words, and of shingles that sets of one map batch share."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in b.pieces(batches, "_text", 8 << 20):
+        for _, texts in b.pieces(batches, "_text", 8 << 20, ROWS):
             texts = list(dict.fromkeys(texts))
-            shingles, _ = shingle_sets(texts, k)
-            flat, starts, ends, _ = b.joined_words(texts, b.SPACED, lower=True)
-            for kind, values in ((0, b.word_hashes(np.frombuffer(flat, np.uint8), starts, ends)), (1, shingles)):
+            doc, value, _, words = occurrences(texts, k)
+            shingles, _ = shingle_sets(doc, value, len(texts))
+            for kind, values in ((0, words), (1, shingles)):
                 found, n = np.unique(values, return_counts=True)
                 often = n > 1
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), kind, np.int32)), pa.array(found[often].view(np.int64)), pa.array(n[often])], ["kind", "token", "n"])
@@ -96,8 +100,13 @@ def _pack(text: bytes) -> bytes:
 
 def _unpack(blobs: list[bytes], k: int) -> list[np.ndarray]:
     d = zstandard.ZstdDecompressor()
-    value, size = shingle_sets([d.decompress(x) for x in blobs], k)
-    return np.split(value, np.cumsum(size)[:-1]) if blobs else []
+    out: list[np.ndarray] = []
+    for at in range(0, len(blobs), ROWS):
+        texts = [d.decompress(x) for x in blobs[at : at + ROWS]]
+        doc, value, _, _ = occurrences(texts, k)
+        value, size = shingle_sets(doc, value, len(texts))
+        out += np.split(value, np.cumsum(size)[:-1])
+    return out
 
 
 def _verify(k: int, t: int):
@@ -169,20 +178,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hot = tables.value
-        for batch, texts in b.pieces(batches, "_text"):
-            value, size, score = shingle_sets(texts, k, words)
+        for batch, texts in b.pieces(batches, "_text", rows=ROWS):
+            doc, hashes, spot, h = occurrences(texts, k)
+            value, size = shingle_sets(doc, hashes, len(texts))
             first = np.cumsum(size) - size
-            doc = np.repeat(np.arange(len(size)), size)
-            some = size > 0
             total = np.zeros(len(size), np.uint64)
             if len(value):
-                total[some] = np.add.reduceat(b.mix(value ^ b.U(0x5DEECE66D)), first[some])
+                total[size > 0] = np.add.reduceat(b.mix(value ^ b.U(0x5DEECE66D)), first[size > 0])
             kind = b.mix(total + size.astype(np.uint64))
-            late = hot[(value % b.U(SLOTS)).astype(np.int64)]
-            order = np.lexsort((value, score, late, doc))
-            need = np.where(some, size - -(-t * size // 100) + 1, 0)
-            inner = np.arange(len(value)) - first[doc]
-            prefix = value[order][inner < need[doc]]
+            # a shingle's place in the order: shared by many, common words, hash
+            sums = np.concatenate([[0], np.cumsum(words[_slot(h)], dtype=np.int64)])
+            common = np.where(spot >= 0, sums[np.maximum(spot, 0) + np.where(spot >= 0, k, 0)] - sums[np.maximum(spot, 0)], 0)
+            late = hot[_slot(hashes)].astype(np.uint64)
+            rank = (late << b.U(44)) | (np.minimum(common, 255).astype(np.uint64) << b.U(36)) | (hashes >> b.U(16))
+            order = np.argsort((doc << b.U(52)) | rank)
+            doc, hashes = doc[order].astype(np.int64), hashes[order]
+            new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
+            doc, hashes = doc[new], hashes[new]
+            inner = np.arange(len(doc)) - np.searchsorted(doc, doc, "left")
+            need = np.where(size > 0, size - -(-t * size // 100) + 1, 0)
+            prefix = hashes[inner < need[doc]]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need)]).astype(np.int32)), pa.array(prefix.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(kind.view(np.int64)), lists], ["_id", "_fp", "n", "kind", "prefix"])
 
@@ -192,8 +207,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a bucket for each prefix shingle with two classes or more; buckets of the same members fold into one
     tokens = sketches.select("kind", own.alias("own"), F.explode("prefix").alias("token"))
     buckets = tokens.groupBy("token").agg(F.min("kind").alias("leader"), F.max("kind").alias("last"), F.bit_xor("own").alias("members"), F.count("*").alias("size")).where("leader <> last")
-    buckets = b.written(buckets.groupBy("leader", "last", "members", "size").agg(F.min("token").alias("token")).select("token", "leader"), "buckets")
-    members = b.written(tokens.select("token", "kind").join(buckets, "token").select("token", "leader", "kind").distinct(), "members")
+    buckets = b.written(buckets.groupBy("leader", "last", "members", "size").agg(F.min("token").alias("token")).select("token"), "buckets")
+    # sizes of linked sets differ by t percent at most: a bucket falls into classes of that width, each with the next one
+    found = tokens.select("token", "kind").join(buckets, "token").distinct().join(light.groupBy("kind").agg(F.min("n").alias("n")), "kind")
+    width = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / t)) + 1e-9).cast("int")
+    sized = b.written(found.select("token", "kind", "n", F.explode(F.array(width, width - 1)).alias("width")), "sized")
+    by_size = sized.groupBy("token", "width").agg(F.min("kind").alias("leader"), F.max("kind").alias("last"), F.bit_xor(F.xxhash64("kind")).alias("members"), F.count("*").alias("size")).where("leader <> last")
+    by_size = by_size.groupBy("leader", "last", "members", "size").agg(F.min(F.struct("token", "width")).alias("bucket")).select("bucket.token", "bucket.width", "leader")
+    members = sized.join(by_size, ["token", "width"]).select(F.xxhash64("token", "width").alias("token"), "leader", "kind", "n")
+    sizes = members.select(F.col("kind").alias("leader"), F.col("n").alias("leader_n")).distinct()
+    members = b.written(members.join(sizes, "leader"), "members")
 
     first = light.groupBy("kind").agg(F.min(F.struct("_id", "_fp")).alias("place"))
     wanted = members.select("kind").distinct().join(first, "kind").select("kind", "place._id", "place._fp")
@@ -205,7 +228,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     texts = b.written(keyed.join(wanted, ["_id", "_fp"]).select("kind", "_text").mapInArrow(shrink, "kind long, packed binary").dropDuplicates(["kind"]), "class-texts")
 
-    pairs = members.where("kind <> leader").select(F.col("leader").alias("x"), F.col("kind").alias("y")).distinct()
+    alike = 100 * F.least("n", "leader_n") >= t * F.greatest("n", "leader_n")
+    pairs = members.where((F.col("kind") != F.col("leader")) & alike).select(F.col("leader").alias("x"), F.col("kind").alias("y")).distinct()
     with_x = pairs.join(texts.select(F.col("kind").alias("x"), F.col("packed").alias("px")), "x")
     with_both = with_x.join(texts.select(F.col("kind").alias("y"), F.col("packed").alias("py")), "y").select("x", "y", "px", "py")
     stars = b.written(with_both.mapInArrow(_verify(k, t), "x long, y long, ok boolean").where("ok").select("x", "y"), "stars")

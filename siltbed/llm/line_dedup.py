@@ -77,36 +77,40 @@ def removed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
     first = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"))
     equal = hashed.select(*_PLACE, "h1", "h2").join(first, ["h1", "h2"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
 
-    by_half = hashed.select("h1", F.explode("halves").alias("half"))
+    by_half = hashed.select("h1", F.posexplode("halves").alias("side", "half"))
     shared = by_half.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("half")
-    near = by_half.join(shared, "half", "left_semi").select("h1").distinct()
-    near = first.join(near, "h1").select("h1", "h2", F.col("first").alias("place"))
-    wanted = near.groupBy(F.col("place._id").alias("_id"), F.col("place._fp").alias("_fp")).agg(F.collect_list(F.struct(F.col("place.pos").alias("pos"), "h1", "h2")).alias("wanted"))
+    sides = by_half.join(shared, "half", "left_semi").groupBy("h1").agg(F.max(F.col("side") % 2 == 0).alias("front"), F.max(F.col("side") % 2 == 1).alias("back"))
+    near = first.join(sides, "h1").select("h1", "h2", "front", "back", F.col("first").alias("place"))
+    wanted = near.groupBy(F.col("place._id").alias("_id"), F.col("place._fp").alias("_fp")).agg(F.collect_list(F.struct(F.col("place.pos").alias("pos"), "h1", "h2", "front", "back")).alias("wanted"))
     text = F.split(_plain(F.col("_text")), "\n")
     pick = lambda line, i: F.struct(line.alias("line"), F.filter("wanted", lambda x: x.pos == i).alias("s"))
     rows = keyed.join(wanted, ["_id", "_fp"]).select("_id", "_fp", F.inline(F.transform(text, pick))).where(F.size("s") > 0).select("_id", "_fp", "line", F.inline("s"))
-    left = b.written(rows.select(F.struct(*_PLACE).alias("place"), "h1", "h2", _words(F.col("line")).alias("words")), "near-lines")
+    left = b.written(rows.select(F.struct(*_PLACE).alias("place"), "h1", "h2", "front", "back", _words(F.col("line")).alias("words")), "near-lines")
 
     # the deletion neighbourhood: XOR of (word, place) before the gap and of (word, place - 1) behind it
-    each = left.repartition("h1", "h2").select("h1", "h2", "place", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
+    each = left.repartition("h1", "h2").select("h1", "h2", "front", "back", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
     each = each.withColumns({"here": F.xxhash64("w", "i"), "moved": F.xxhash64(F.col("w"), F.col("i") - 1)})
     line = Window.partitionBy("h1", "h2")
     so_far = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     gone = each.select(
-        "h1", "h2", "place", "n", "i",
+        "h1", "front", "back", "n", "i",
         F.bit_xor("here").over(line).alias("whole"),
         F.bit_xor("here").over(so_far).bitwiseXOR(F.col("here")).bitwiseXOR(F.bit_xor("moved").over(line)).bitwiseXOR(F.bit_xor("moved").over(so_far)).alias("variant"),
     )
+    half = F.floor((F.col("n") - 1) / 2)  # a shared half has no edit, so the gap is in the other
+    open_gap = (F.col("front") & (F.col("i") >= half)) | (F.col("back") & (F.col("i") < F.col("n") - half))
     keys = F.array(
-        F.struct(F.xxhash64(F.lit("change"), "variant", "i", "n").alias("key"), F.lit(0).alias("role")),
-        F.struct(F.xxhash64(F.lit("insert"), "variant", F.col("n") - 1).alias("key"), F.lit(1).alias("role")),
+        F.struct(F.when(open_gap, F.xxhash64(F.lit("change"), "variant", "i", "n")).alias("key"), F.lit(0).alias("role")),
+        F.struct(F.when(open_gap, F.xxhash64(F.lit("insert"), "variant", F.col("n") - 1)).alias("key"), F.lit(1).alias("role")),
         F.struct(F.when(F.col("i") == 0, F.xxhash64(F.lit("insert"), "whole", "n")).alias("key"), F.lit(2).alias("role")),
     )
-    variants = gone.select("place", F.inline(keys)).where("key is not null")
+    variants = gone.select("h1", F.inline(keys)).where("key is not null")
+    met = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("key")
+    met = b.written(variants.join(met, "key").join(left.select("h1", "place"), "h1").select("key", "role", "place"), "variants")
     earliest = lambda *roles: F.min(F.when(F.col("role").isin(*roles), F.col("place")))
-    best = variants.groupBy("key").agg(earliest(0, 1).alias("short"), earliest(0, 2).alias("long"), F.max("place").alias("last"), F.min("place").alias("least")).where("last <> least").drop("last", "least")
+    best = met.groupBy("key").agg(earliest(0, 1).alias("short"), earliest(0, 2).alias("long"))
     other = F.when(F.col("role") == 1, F.col("long")).otherwise(F.col("short"))
-    pairs = variants.join(best, "key").select("place", other.alias("other")).where("other < place").distinct()
+    pairs = met.join(best, "key").select("place", other.alias("other")).where("other < place").distinct()
     mine = left.select("place", F.col("words").alias("mine"))
     theirs = left.select(F.col("place").alias("other"), F.col("words").alias("theirs"))
     close = pairs.join(mine, "place").join(theirs, "other").where(_within_one(F.col("mine"), F.col("theirs")))
