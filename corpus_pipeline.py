@@ -65,7 +65,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can't express the stages; tests/llm/test_pipeline.py holds run() against a plain version.
+#: SQL can't express the stages; the operators that they call are tested against plain versions in tests/llm.
 ORACLE_SQL = None
 
 

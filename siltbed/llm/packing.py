@@ -15,6 +15,7 @@ all their rows. No tokens are lost, cut twice or reordered within a document.
 from __future__ import annotations
 
 import re
+import struct
 
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,17 +47,20 @@ class WordTokens:
     def __init__(self, path: str):
         self.path, self.known, self.split = path, {}, re.compile(r"[^ \t-\r]+").findall
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = self.split(text) if text else []
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > MEMORY:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, _tokenizer(self.path).encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known, split = self.known, [self.split(t) for t in texts]
+        words = set().union(*split)
+        if len(known) > MEMORY:
+            known.clear()
+        new = list(words.difference(known))
+        tokenizer = _tokenizer(self.path)
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for w, e in zip(part, encode(part, add_special_tokens=False), strict=True):
+                ids = e.ids
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return [b"".join([known[w] for w in own]) for own in split]
 
 
 class CapacityTree:
@@ -144,8 +148,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         tokens, ranks, task = WordTokens(path), {}, TaskContext.get().partitionId()
         for batch, texts in b.pieces(batches, "_text"):
             rows = []
-            for i, raw in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = tokens(raw.decode()) + end
+            for i, ids in zip(batch.column(0).to_pylist(), tokens([t.decode() for t in texts]), strict=True):
+                ids += end
                 total = len(ids) // 4
                 for at in range(0, total, size):
                     n = min(size, total - at)
