@@ -157,7 +157,9 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 
 def joined_words(texts: list[bytes], pattern: re.Pattern, lower: bool = False) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """The words of all texts, each followed by one space; starts and ends in bytes; number of words of each text."""
-    words = [pattern.findall(t.lower() if lower else t) for t in texts]
+    if lower:
+        texts = [t.lower() for t in texts]
+    words = [t.split() for t in texts] if pattern is SPACED else [pattern.findall(t) for t in texts]  # bytes split at the same white space
     counts = np.array([len(w) for w in words], np.int64)
     flat = b" ".join([b" ".join(w) for w in words if w]) + b" "
     buf = np.frombuffer(flat, np.uint8)
