@@ -8,13 +8,20 @@ batch share them; both are tables of SLOTS bytes, filled from all documents, so
 broadcast does not grow and the order, whatever it is, is the same everywhere.
 Classes of one prefix shingle are the similar documents that form a bucket.
 
-1. Buckets with the same members fold into one; each proposes every member to its
+A class also has a row of cells: how many of its shingles fall into each of some n / 4
+cells of the hash space. The sum of the lesser counts bounds the overlap of two classes
+from above, and the greater counts of several rows are the row of their union.
+
+1. In each bucket the rows are laid out in groups of GROUP, each with the row of its
+   union: a token-group matrix. A member is held against a group's members only if the
+   bound on its overlap with the union allows a link. Members that no other one in the
+   bucket can link with leave the bucket; no text has moved by then.
+2. Buckets with the same members fold into one; each proposes every member to its
    leader only (a star, linear in the bucket), and Spark verifies these pairs.
-2. Buckets whose members are all connected by then are done. In the others, members
-   are laid out in groups of GROUP sets; a token-group matrix holds which groups'
-   unions have which shingle. A member is compared with a group only if the bound on
-   its overlap with the union allows a link and the group has another component, and
-   then with all members of the qualifying groups at once.
+   Buckets whose members are all connected by then are done. In the others, members
+   are laid out in groups again, now with the unions of the shingles themselves, and
+   compared only with qualifying groups that have another component. Open buckets that
+   share members are worked on as one family.
    Large buckets are dealt out in chunks of CHUNK members; each pair of chunks is one
    task's work, so no task holds a bucket.
 3. Links make components; a document's class carries its component back to it.
@@ -124,6 +131,58 @@ def _verify(k: int, t: int):
     return run
 
 
+def cell_rows(doc: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Of each text, the counts of its distinct shingles in 2^i cells (4 to 8 a cell); null if a count passes a byte."""
+    cells = np.where(size > 0, 1 << np.maximum(np.log2(np.maximum(size, 1)).astype(np.int64) - 2, 3), 0)
+    begin = np.cumsum(cells) - cells
+    at = begin[doc] + ((hashes >> b.U(20)).astype(np.int64) & (cells[doc] - 1))
+    counts = np.bincount(at, minlength=int(cells.sum()))
+    over = np.zeros(len(size), bool)
+    over[np.searchsorted(begin, np.flatnonzero(counts > 255), "right") - 1] = True
+    ends = np.concatenate([[0], np.cumsum(cells)])
+    raw = np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return pa.array([None if o else raw[x:y] for x, y, o in zip(ends[:-1].tolist(), ends[1:].tolist(), over.tolist(), strict=True)], pa.binary())
+
+
+def _matrix(rows: list[bytes | None]) -> np.ndarray:
+    """Rows of cells folded to the fewest cells among them; a missing row bounds nothing."""
+    width = min((len(r) for r in rows if r), default=8)
+    out = np.full((len(rows), width), 1 << 14, np.int32)
+    for i, r in enumerate(rows):
+        if r:
+            out[i] = np.frombuffer(r, np.uint8).reshape(-1, width).sum(axis=0)
+    return out
+
+
+def _may_link(x: bytes | None, y: bytes | None, m: int, n: int, t: int) -> bool:
+    both = _matrix([x, y])
+    return (100 + t) * int(np.minimum(both[0], both[1]).sum()) >= t * (m + n)
+
+
+def qualifying(rows: list[bytes | None], n: np.ndarray, kind: np.ndarray, role: np.ndarray, t: int) -> np.ndarray:
+    """Which members may link with another one of the bucket, by the bounds on unions and then on single rows."""
+    cells, marked = _matrix(rows), np.zeros(len(rows), bool)
+    own = np.flatnonzero(role != 0)
+    own = own[np.lexsort((kind[own], n[own]))]
+    if not len(own):
+        return marked
+    starts = np.arange(0, len(own), GROUP)
+    unions = np.maximum.reduceat(cells[own], starts, axis=0)
+    least = np.minimum.reduceat(n[own], starts)
+    for q in np.flatnonzero(role != 1).tolist():
+        if marked[q] and marked[own].all():
+            continue
+        bound = np.minimum(unions, cells[q]).sum(axis=1)
+        spots = (starts[(100 + t) * bound >= t * (n[q] + least)][:, None] + np.arange(GROUP)).ravel()
+        near = own[spots[spots < len(own)]]
+        near = near[kind[near] != kind[q]]
+        if len(near):
+            near = near[(100 + t) * np.minimum(cells[near], cells[q]).sum(axis=1) >= t * (n[q] + n[near])]
+            marked[near] = True
+            marked[q] |= len(near) > 0
+    return marked
+
+
 def matrix_links(sets_a, ids_a, comp_a, sets_b, ids_b, comp_b, t: int) -> list[tuple[int, int]]:
     """Links between queries a and members b of other components, found through a token-group matrix of b."""
     if not len(sets_b):
@@ -171,6 +230,12 @@ def matrix_links(sets_a, ids_a, comp_a, sets_b, ids_b, comp_b, t: int) -> list[t
     return found
 
 
+def _chunk_pairs(members: DataFrame, carry: str) -> DataFrame:
+    """Every chunk of a bucket meets itself (role 2) and the later ones (roles 0 and 1)."""
+    roles = members.select("token", "kind", carry, F.explode(F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) as lo, greatest(c, chunk) as hi))")).alias("r"), "chunk")
+    return roles.select("token", "r.lo", "r.hi", "kind", carry, F.when(F.col("lo") == F.col("hi"), 2).when(F.col("chunk") == F.col("lo"), 0).otherwise(1).alias("role"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, t: int = 80) -> DataFrame:
     """id, n_shingles, component_id for every row of docs; documents link at a similarity of t percent or more."""
     keyed = b.keyed(docs, id_col, text_col)
@@ -180,28 +245,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         words, hot = tables.value
         for batch, texts in b.pieces(batches, "_text", rows=ROWS):
             doc, hashes, spot, h = occurrences(texts, k)
-            value, size = shingle_sets(doc, hashes, len(texts))
-            first = np.cumsum(size) - size
-            total = np.zeros(len(size), np.uint64)
-            if len(value):
-                total[size > 0] = np.add.reduceat(b.mix(value ^ b.U(0x5DEECE66D)), first[size > 0])
-            kind = b.mix(total + size.astype(np.uint64))
             # a shingle's place in the order: shared by many, common words, hash
             sums = np.concatenate([[0], np.cumsum(words[_slot(h)], dtype=np.int64)])
             common = np.where(spot >= 0, sums[np.maximum(spot, 0) + np.where(spot >= 0, k, 0)] - sums[np.maximum(spot, 0)], 0)
             late = hot[_slot(hashes)].astype(np.uint64)
             rank = (late << b.U(44)) | (np.minimum(common, 255).astype(np.uint64) << b.U(36)) | (hashes >> b.U(16))
-            order = np.argsort((doc << b.U(52)) | rank)
+            place = (doc << b.U(52)) | rank
+            order = np.argsort(place)
+            place = place[order]
+            if ((place[1:] == place[:-1]) & (hashes[order][1:] != hashes[order][:-1])).any():  # equal shingles must stand together
+                order = np.lexsort((hashes, rank, doc))
             doc, hashes = doc[order].astype(np.int64), hashes[order]
             new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
             doc, hashes = doc[new], hashes[new]
-            inner = np.arange(len(doc)) - np.searchsorted(doc, doc, "left")
+            size = np.bincount(doc, minlength=len(texts))
+            first = np.cumsum(size) - size
+            total = np.zeros(len(size), np.uint64)
+            if len(hashes):
+                total[size > 0] = np.add.reduceat(b.mix(hashes ^ b.U(0x5DEECE66D)), first[size > 0])
+            kind = b.mix(total + size.astype(np.uint64))
+            inner = np.arange(len(doc)) - first[doc]
             need = np.where(size > 0, size - -(-t * size // 100) + 1, 0)
             prefix = hashes[inner < need[doc]]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need)]).astype(np.int32)), pa.array(prefix.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(kind.view(np.int64)), lists], ["_id", "_fp", "n", "kind", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(kind.view(np.int64)), lists, cell_rows(doc, hashes, size)], ["_id", "_fp", "n", "kind", "prefix", "cells"])
 
-    sketches = b.written(keyed.mapInArrow(sketch, "_id long, _fp int, n int, kind long, prefix array<long>"), "sketches")
+    sketches = b.written(keyed.mapInArrow(sketch, "_id long, _fp int, n int, kind long, prefix array<long>, cells binary"), "sketches")
     light = sketches.where("n > 0").select("_id", "_fp", "n", "kind")
     own = F.xxhash64("_id", "_fp")
     # a bucket for each prefix shingle with two classes or more; buckets of the same members fold into one
@@ -213,8 +282,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     width = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / t)) + 1e-9).cast("int")
     sized = b.written(found.select("token", "kind", "n", F.explode(F.array(width, width - 1)).alias("width")), "sized")
     by_size = sized.groupBy("token", "width").agg(F.min("kind").alias("leader"), F.max("kind").alias("last"), F.bit_xor(F.xxhash64("kind")).alias("members"), F.count("*").alias("size")).where("leader <> last")
-    by_size = by_size.groupBy("leader", "last", "members", "size").agg(F.min(F.struct("token", "width")).alias("bucket")).select("bucket.token", "bucket.width", "leader")
-    members = sized.join(by_size, ["token", "width"]).select(F.xxhash64("token", "width").alias("token"), "leader", "kind", "n")
+    by_size = by_size.groupBy("leader", "last", "members", "size").agg(F.min(F.struct("token", "width")).alias("bucket")).select("bucket.token", "bucket.width", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    met = b.written(sized.join(by_size, ["token", "width"]).select(F.xxhash64("token", "width").alias("token"), "kind", "n", "chunks", F.pmod(F.xxhash64("kind"), "chunks").cast("int").alias("chunk")), "met")
+    cells = b.written(sketches.select("kind", "cells").join(met.select("kind").distinct(), "kind").dropDuplicates(["kind"]), "cells")
+
+    def qualify(table: pa.Table) -> pa.Table:
+        kind, n, role = (table.column(c).to_numpy() for c in ("kind", "n", "role"))
+        keep = qualifying(table.column("cells").to_pylist(), n.astype(np.int64), kind, role, t)
+        return table.select(["token", "kind", "n"]).filter(pa.array(keep))
+
+    qualified = _chunk_pairs(met, "n").join(cells, "kind").groupBy("token", "lo", "hi").applyInArrow(qualify, "token long, kind long, n int")
+    qualified = b.written(qualified.distinct(), "qualified")
+    heads = qualified.groupBy("token").agg(F.min("kind").alias("leader"), F.max("kind").alias("last"), F.bit_xor(F.xxhash64("kind")).alias("members"), F.count("*").alias("size"))
+    heads = heads.groupBy("leader", "last", "members", "size").agg(F.min("token").alias("token")).select("token", "leader")
+    members = qualified.join(heads, "token").select("token", "leader", "kind", "n")
     sizes = members.select(F.col("kind").alias("leader"), F.col("n").alias("leader_n")).distinct()
     members = b.written(members.join(sizes, "leader"), "members")
 
@@ -229,7 +310,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = b.written(keyed.join(wanted, ["_id", "_fp"]).select("kind", "_text").mapInArrow(shrink, "kind long, packed binary").dropDuplicates(["kind"]), "class-texts")
 
     alike = 100 * F.least("n", "leader_n") >= t * F.greatest("n", "leader_n")
-    pairs = members.where((F.col("kind") != F.col("leader")) & alike).select(F.col("leader").alias("x"), F.col("kind").alias("y")).distinct()
+    pairs = members.where((F.col("kind") != F.col("leader")) & alike).select(F.col("leader").alias("x"), F.col("kind").alias("y"), F.col("leader_n").alias("m"), "n").distinct()
+    pairs = pairs.join(cells.withColumnsRenamed({"kind": "x", "cells": "cx"}), "x").join(cells.withColumnsRenamed({"kind": "y", "cells": "cy"}), "y").select("x", "y", "cx", "cy", "m", "n")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_may_link(*row, t) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = pairs.mapInArrow(bounded, "x long, y long")
     with_x = pairs.join(texts.select(F.col("kind").alias("x"), F.col("packed").alias("px")), "x")
     with_both = with_x.join(texts.select(F.col("kind").alias("y"), F.col("packed").alias("py")), "y").select("x", "y", "px", "py")
     stars = b.written(with_both.mapInArrow(_verify(k, t), "x long, y long, ok boolean").where("ok").select("x", "y"), "stars")
@@ -238,10 +327,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = members.join(comps.withColumnRenamed("node", "kind"), "kind", "left").select("token", "leader", "kind", F.coalesce("comp", "kind").alias("comp"))
     # what the stars have not settled: buckets of several components with members besides the leader
     open_ = placed.where("kind <> leader").groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count("*").alias("size")).where("a <> z").select("token", "size")
-    rest = b.written(placed.where("kind <> leader").join(open_, "token").select("token", "kind", "comp", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"), F.pmod(F.xxhash64("kind"), F.ceil(F.col("size") / CHUNK)).cast("int").alias("chunk")), "open")
-    # every chunk meets itself and the later ones
-    roles = rest.select("token", "kind", "comp", F.explode(F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) as lo, greatest(c, chunk) as hi))")).alias("r"), "chunk")
-    work = roles.select("token", "r.lo", "r.hi", "kind", "comp", F.when(F.col("lo") == F.col("hi"), 2).when(F.col("chunk") == F.col("lo"), 0).otherwise(1).alias("role"))
+    rest = b.written(placed.where("kind <> leader").join(open_, "token").select("token", "kind", "comp", "size"), "open")
+    # open buckets that share members make a family, where each text is needed once; a family beyond CHUNK keeps its buckets
+    least_kind = rest.groupBy("token").agg(F.min("kind").alias("x"))
+    family = components(rest.join(least_kind, "token").select("x", F.col("kind").alias("y"))).select(F.col("node").alias("kind"), F.col("comp").alias("family"))
+    family = family.join(family.groupBy("family").agg(F.count("*").alias("held")), "family")
+    rest = rest.join(family, "kind")
+    whole = rest.where(F.col("held") <= CHUNK).select(F.col("family").alias("token"), "kind", "comp", F.lit(1).alias("chunks")).distinct()
+    parts = rest.where(F.col("held") > CHUNK).select("token", "kind", "comp", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    rest = whole.union(parts).withColumn("chunk", F.pmod(F.xxhash64("kind"), "chunks").cast("int"))
+    work = _chunk_pairs(rest, "comp")
     work = work.join(texts, "kind").select("token", "lo", "hi", "kind", "comp", "role", "packed")
 
     def open_groups(table: pa.Table) -> pa.Table:
