@@ -218,3 +218,49 @@ def test_language(spark, docs, empty):
     got = by_id(language_id.predict(docs, net))
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2, 4)) and 0 <= got[9]["score"] <= 1
     assert language_id.fit(empty) is None and {r["lang_pred"] for r in language_id.predict(docs, None).collect()} == {"und"}
+
+
+def test_qualifying():
+    sets = [np.unique(rng.integers(0, 2**52, 200).astype(np.uint64)) for _ in range(6)]
+    sets += [np.concatenate([s[: int(len(s) * f)], np.unique(rng.integers(0, 2**52, 12).astype(np.uint64))]) for s in sets for f in (1, 0.95, 0.5)]
+    sets = [np.unique(s) for s in sets]
+    n = np.array([len(s) for s in sets])
+    rows = jaccard_join.cell_rows(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n).to_pylist()
+    rows[3] = None  # a missing row bounds nothing
+    kept = jaccard_join.qualifying(rows, n, np.arange(len(sets)), np.full(len(sets), 2), 80)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if i != j and jaccard_join.linked(len(np.intersect1d(x, y)), len(x), len(y), 80):
+                assert kept[i] and kept[j] and jaccard_join._may_link(rows[i], rows[j], n[i], n[j], 80)
+
+
+@pytest.mark.parametrize("chunk", [3, 2048])
+def test_jaccard_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    base_words = prose(90).split()
+    texts = []
+    for i in range(24):  # a chain of near copies: each changes two more words
+        words = list(base_words)
+        for j in range(i):
+            words[(7 * j) % 90] = f"new{j}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    got = by_id(jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=4, t=85))
+    assert [got[i]["component_id"] for i in range(len(texts))] == comp
+
+
+def test_word_tokens():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one = packing._tokenizer(path)
+    parts = [*"abzAZ éÉßÿÀ×÷µªºİıſKΣσς́ '\n\t\r\x0b\x0c  .,!?<|>09²½#%-_`~^\x1c\x85中ａ", "<|endoftext|>", "'s", "'ll", "ﬁ", "ẞ"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 40, 2000)]
+    for t, ids in zip(texts, packing.WordTokens(path)([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == one.encode(t, add_special_tokens=False).ids
