@@ -9,6 +9,8 @@ their names.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -19,6 +21,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +36,14 @@ _STEP = [U(int(x) | 1) for x in _rng.integers(2**60, 2**63, 40)]
 _MULT = U(0x9E3779B97F4A7C15)
 
 
+#: Bytes of an Arrow batch sent to a Python worker: rows alone bound no memory where texts are long.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, unless their path has it already."""
+    """Sends this package to the Python workers, unless their path has it already; bounds Arrow batches in bytes, unless the application's settings do."""
+    if not spark.sparkContext.getConf().contains(key := "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set(key, str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     if str(root) in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) or getattr(spark.sparkContext, "_siltbed_shipped", False):
         return
@@ -84,19 +93,28 @@ def lower_ascii(text: bytes) -> bytes:
     return text.lower()  # bytes.lower() changes A-Z alone
 
 
+def give_back() -> None:
+    """Returns free memory of a Python worker, which lives on for later stages, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches cut so that their texts hold about `most` bytes; one longer text stands alone."""
+    """Batches cut so that their texts hold about `most` bytes; one longer text stands alone. Only one piece's texts are Python objects at a time."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
+        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         begin, held = 0, 0
-        for i, t in enumerate(texts):
-            size = len(t) if t else 0
-            if held and held + size > most or i - begin >= rows:
-                yield batch.slice(begin, i - begin), [x or b"" for x in texts[begin:i]]
+        for i, size in enumerate([*sizes, 0]):
+            if i == len(sizes) or held and held + size > most or i - begin >= rows:
+                if i > begin:
+                    yield batch.slice(begin, i - begin), [x or b"" for x in texts.slice(begin, i - begin).to_pylist()]
                 begin, held = i, 0
             held += size
-        if begin < len(texts):
-            yield batch.slice(begin), [x or b"" for x in texts[begin:]]
+    give_back()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -154,10 +154,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     shipped = [spark.sparkContext.broadcast(a) for a in automata(bench, item_col, item_text_col, n)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in b.pieces(batches, "_text"):
             ids, rows = batch.columns[:-1], []
-            for text in batch.columns[-1].to_pylist():
-                raw = text.encode() if text else b""
+            for raw, null in zip(texts, batch.columns[-1].is_null().to_pylist(), strict=True):
                 words = b.ALNUM.findall(raw.lower())
                 spans, items = [], set()
                 for a in shipped:
@@ -166,7 +165,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                     items |= of
                 spans = b.merged(spans) if len(shipped) > 1 else spans
                 hit = sum(y - x for x, y in spans)
-                clean = text
+                clean = None if null else raw.decode()
                 if hit > max_coverage * len(words):
                     clean = None
                 elif spans:

@@ -105,14 +105,18 @@ def _pack(text: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(text)
 
 
-def _unpack(blobs: list[bytes], k: int) -> list[np.ndarray]:
+def _unpack(blobs: list[bytes], k: int, most: int = 4 << 20) -> list[np.ndarray]:
     d = zstandard.ZstdDecompressor()
     out: list[np.ndarray] = []
-    for at in range(0, len(blobs), ROWS):
-        texts = [d.decompress(x) for x in blobs[at : at + ROWS]]
-        doc, value, _, _ = occurrences(texts, k)
-        value, size = shingle_sets(doc, value, len(texts))
-        out += np.split(value, np.cumsum(size)[:-1])
+    texts, held = [], 0
+    for i, blob in enumerate(blobs):
+        texts.append(d.decompress(blob))
+        held += len(texts[-1])
+        if held >= most or len(texts) == ROWS or i == len(blobs) - 1:
+            doc, value, _, _ = occurrences(texts, k)
+            value, size = shingle_sets(doc, value, len(texts))
+            out += np.split(value, np.cumsum(size)[:-1])
+            texts, held = [], 0
     return out
 
 
