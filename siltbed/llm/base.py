@@ -68,10 +68,15 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives its executors."""
+def written(df: DataFrame, what: str, free: bool = False) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and outlives its executors.
+
+    With `free`, the driver collects its garbage, so that Spark's cleaner removes the shuffle files that went into the table."""
     path = shared_dir(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
+    if free:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -85,7 +85,7 @@ def removed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
     text = F.split(_plain(F.col("_text")), "\n")
     pick = lambda line, i: F.struct(line.alias("line"), F.filter("wanted", lambda x: x.pos == i).alias("s"))
     rows = keyed.join(wanted, ["_id", "_fp"]).select("_id", "_fp", F.inline(F.transform(text, pick))).where(F.size("s") > 0).select("_id", "_fp", "line", F.inline("s"))
-    left = b.written(rows.select(F.struct(*_PLACE).alias("place"), "h1", "h2", "front", "back", _words(F.col("line")).alias("words")), "near-lines")
+    left = b.written(rows.select(F.struct(*_PLACE).alias("place"), "h1", "h2", "front", "back", _words(F.col("line")).alias("words")), "near-lines", free=True)
 
     # the deletion neighbourhood: XOR of (word, place) before the gap and of (word, place - 1) behind it
     each = left.repartition("h1", "h2").select("h1", "h2", "front", "back", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
@@ -106,7 +106,7 @@ def removed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
     )
     variants = gone.select("h1", F.inline(keys)).where("key is not null")
     met = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("key")
-    met = b.written(variants.join(met, "key").join(left.select("h1", "place"), "h1").select("key", "role", "place"), "variants")
+    met = b.written(variants.join(met, "key").join(left.select("h1", "place"), "h1").select("key", "role", "place"), "variants", free=True)
     earliest = lambda *roles: F.min(F.when(F.col("role").isin(*roles), F.col("place")))
     best = met.groupBy("key").agg(earliest(0, 1).alias("short"), earliest(0, 2).alias("long"))
     other = F.when(F.col("role") == 1, F.col("long")).otherwise(F.col("short"))
@@ -120,7 +120,7 @@ def removed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """docs with the text that is left, and n_lines and n_removed; columns of those two names are replaced."""
     keyed = b.keyed(docs, id_col, text_col)
-    gone = removed_lines(keyed, min_words).groupBy("_id", "_fp").agg(F.collect_list("pos").alias("_gone"))
+    gone = b.written(removed_lines(keyed, min_words), "gone-lines", free=True).groupBy("_id", "_fp").agg(F.collect_list("pos").alias("_gone"))
     text = F.col(f"`{text_col}`")
     own = docs.drop("n_lines", "n_removed")
     key = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(b.NULL_ID)).alias("_id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("_fp")]
