@@ -77,7 +77,17 @@ def written(df: DataFrame, what: str, free: bool = False) -> DataFrame:
     if free:
         gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._siltbed_path = path
+    return table
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes tables made by written(), once nothing is to be computed from them any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._siltbed_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

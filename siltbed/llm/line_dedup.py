@@ -82,6 +82,7 @@ def removed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
     sides = by_half.join(shared, "half", "left_semi").groupBy("h1").agg(F.max(F.col("side") % 2 == 0).alias("front"), F.max(F.col("side") % 2 == 1).alias("back"))
     near = first.join(sides, "h1").select("h1", "h2", "front", "back", F.col("first").alias("place"))
     wanted = near.groupBy(F.col("place._id").alias("_id"), F.col("place._fp").alias("_fp")).agg(F.collect_list(F.struct(F.col("place.pos").alias("pos"), "h1", "h2", "front", "back")).alias("wanted"))
+    wanted = b.written(wanted, "wanted-lines", free=True)  # before texts are shuffled
     text = F.split(_plain(F.col("_text")), "\n")
     pick = lambda line, i: F.struct(line.alias("line"), F.filter("wanted", lambda x: x.pos == i).alias("s"))
     rows = keyed.join(wanted, ["_id", "_fp"]).select("_id", "_fp", F.inline(F.transform(text, pick))).where(F.size("s") > 0).select("_id", "_fp", "line", F.inline("s"))
@@ -114,13 +115,15 @@ def removed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
     mine = left.select("place", F.col("words").alias("mine"))
     theirs = left.select(F.col("place").alias("other"), F.col("words").alias("theirs"))
     close = pairs.join(mine, "place").join(theirs, "other").where(_within_one(F.col("mine"), F.col("theirs")))
-    return equal.union(close.select("place.*")).distinct()
+    gone = b.written(equal.union(close.select("place.*")).distinct(), "gone-lines", free=True)
+    b.drop_tables(hashed, wanted, left, met)
+    return gone
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """docs with the text that is left, and n_lines and n_removed; columns of those two names are replaced."""
     keyed = b.keyed(docs, id_col, text_col)
-    gone = b.written(removed_lines(keyed, min_words), "gone-lines", free=True).groupBy("_id", "_fp").agg(F.collect_list("pos").alias("_gone"))
+    gone = removed_lines(keyed, min_words).groupBy("_id", "_fp").agg(F.collect_list("pos").alias("_gone"))
     text = F.col(f"`{text_col}`")
     own = docs.drop("n_lines", "n_removed")
     key = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(b.NULL_ID)).alias("_id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("_fp")]
