@@ -213,9 +213,8 @@ def matrix_links(sets_a, ids_a, comp_a, sets_b, ids_b, comp_b, t: int) -> list[t
         return c
 
     for q, qid, qc in zip(sets_a, ids_a.tolist(), comp_a.tolist(), strict=True):
-        at = np.searchsorted(tokens, q)
-        at = at[(at < len(tokens))]
-        at = at[np.isin(tokens[at], q, assume_unique=True)]
+        at = np.minimum(np.searchsorted(tokens, q), len(tokens) - 1)
+        at = at[tokens[at] == q]
         if not len(at):
             continue
         bound = np.bincount(np.concatenate([cell_group[cell_begin[i] : cell_begin[i + 1]] for i in at.tolist()]), minlength=len(groups))

@@ -146,6 +146,19 @@ def test_matrix():
     assert same(top) == same(want)
 
 
+def test_matrix_of_two_chunks():
+    """Members of both chunks have shingles of their own; chunk b shares a pool of edits, queries have other edits; no two link."""
+    own = np.random.default_rng(17)
+    core, pool, other = (own.choice(2**52, n, replace=False).astype(np.uint64) for n in (300, 400, 400))
+    members = [np.unique(np.concatenate([core, own.choice(pool, 60, replace=False)])) for _ in range(200)]
+    queries = [np.unique(np.concatenate([core, own.choice(other, 60, replace=False)])) for _ in range(30)]
+    a, c = np.arange(30), np.arange(1000, 1200)
+    assert not any(jaccard_join.linked(len(np.intersect1d(x, y)), len(x), len(y), 85) for x in queries for y in members)
+    assert jaccard_join.matrix_links(queries, a, a, members, c, c, 85) == []
+    found = jaccard_join.matrix_links([members[0][:-1], *queries], np.arange(31), np.arange(31), members, c, c, 85)
+    assert found == [(0, 1000)]
+
+
 def test_licenses(docs, empty):
     got = by_id(license_scan.license_scan(docs))
     assert got[11]["labels"] == "mit" and got[11]["n_base"] == 1 and got[11]["first_word"] == 3
