@@ -275,11 +275,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sketches = b.written(keyed.mapInArrow(sketch, "_id long, _fp int, n int, kind long, prefix array<long>, cells binary"), "sketches")
     light = sketches.where("n > 0").select("_id", "_fp", "n", "kind")
-    own = F.xxhash64("_id", "_fp")
-    # a bucket for each prefix shingle with two classes or more; buckets of the same members fold into one
-    tokens = sketches.select("kind", own.alias("own"), F.explode("prefix").alias("token"))
-    buckets = tokens.groupBy("token").agg(F.min("kind").alias("leader"), F.max("kind").alias("last"), F.bit_xor("own").alias("members"), F.count("*").alias("size")).where("leader <> last")
-    buckets = b.written(buckets.groupBy("leader", "last", "members", "size").agg(F.min("token").alias("token")).select("token"), "buckets")
+    # a bucket for each prefix shingle with two classes or more; buckets of the same members fold into one. Rows of a class
+    # are in the same buckets, so sums over rows tell members apart however often rows repeat; halves do not overflow
+    tokens = sketches.select("kind", F.explode("prefix").alias("token"))
+    members = [F.sum(F.shiftright("kind", 32)).alias("high"), F.sum(F.col("kind").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")]
+    buckets = tokens.groupBy("token").agg(F.min("kind").alias("leader"), F.max("kind").alias("last"), *members, F.count("*").alias("size")).where("leader <> last")
+    buckets = b.written(buckets.groupBy("leader", "last", "high", "low", "size").agg(F.min("token").alias("token")).select("token"), "buckets")
     # sizes of linked sets differ by t percent at most: a bucket falls into classes of that width, each with the next one
     found = tokens.select("token", "kind").join(buckets, "token").distinct().join(light.groupBy("kind").agg(F.min("n").alias("n")), "kind")
     width = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / t)) + 1e-9).cast("int")

@@ -268,6 +268,22 @@ def test_jaccard_chunks(spark, monkeypatch, chunk):
     assert [got[i]["component_id"] for i in range(len(texts))] == comp
 
 
+def test_jaccard_of_a_table_twice(spark):
+    """Families whose links need buckets of equal ends and size apart; each member: words put before, part of the family's words, words put behind."""
+    families = [
+        [(2, 0, 31, 0), (0, 1, 31, 0), (0, 0, 31, 1), (0, 0, 31, 1), (0, 0, 29, 0), (0, 0, 31, 1)],
+        [(1, 0, 25, 0), (1, 0, 25, 0), (0, 1, 25, 1), (1, 0, 25, 1), (0, 0, 25, 0), (0, 0, 24, 0)],
+        [(0, 0, 24, 1), (2, 0, 24, 0), (0, 0, 24, 1), (0, 0, 24, 0), (0, 0, 24, 1), (0, 2, 24, 0)],
+        [(1, 0, 18, 1), (1, 0, 17, 0), (0, 0, 18, 1), (0, 0, 18, 0), (0, 0, 18, 0), (0, 0, 18, 0)],
+    ] * 10
+    words = lambda f, m, before, x, y, after: [f"b{f}x{m}x{i}" for i in range(before)] + [f"f{f}w{j}" for j in range(x, y)] + [f"a{f}x{m}x{i}" for i in range(after)]
+    rows = [(6 * f + m, " ".join(words(f, m, *parts))) for f, family in enumerate(families) for m, parts in enumerate(family)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(once, k=4, t=85).collect()}
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_join(once.union(once), k=4, t=85).collect()}
+    assert set(want.values()) == set(range(0, len(rows), 6)) and got == set(want.items())
+
+
 def test_word_tokens():
     import public_tokenizers
 
