@@ -2,10 +2,11 @@
 
 Lines are compared as lower-cased words. A line goes if an earlier line (smaller
 id, or the same document further up) is within one word edit of it: one word put
-in, left out or changed. Lines under `min_words` words always stay.
+in, left out or changed. Lines under `min_words` words, where one edit is much of the
+line, go only if an earlier line has the same words.
 
-1. Equal lines fold to their first place (partial aggregation takes hot lines).
-2. Two lines within one edit share their first or last half, so lines whose halves
+1. Equal lines of any length fold to their first place (partial aggregation takes hot lines).
+2. Two lines of `min_words` words or more within one edit share their first or last half, so lines whose halves
    occur in no other line are done.
 3. The rest emit their deletion neighbourhood: for each word the line without it, as
    a 64-bit key. Keys are XORs of word-and-place hashes, so a line of n words costs n
@@ -68,12 +69,13 @@ def _within_one(x: Column, y: Column) -> Column:
 def removed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
     """(_id, _fp, pos) of the lines that go."""
     lines = keyed.select("_id", "_fp", F.posexplode(F.transform(F.split(_plain(F.col("_text")), "\n"), _words)).alias("pos", "words"))
-    lines = lines.withColumn("n", F.size("words")).where(F.col("n") >= min_words)
+    lines = lines.withColumn("n", F.size("words")).where(F.col("n") > 0)
     whole, halves = _halves()
+    judged = F.when(F.col("n") >= min_words, F.col("halves"))  # null: equality alone
     middle = [F.element_at("words", F.floor((F.col("n") + 1) / 2).cast("int")), F.element_at("words", F.floor(F.col("n") / 2).cast("int") + 1)]
-    hashes = lines.select(*_PLACE, whole.alias("h1"), halves.alias("halves"), F.xxhash64("n", *middle).alias("middle"))
+    hashes = lines.select(*_PLACE, whole.alias("h1"), "n", halves.alias("halves"), F.xxhash64("n", *middle).alias("middle"))
     second = F.xxhash64(F.element_at("halves", 1), F.element_at("halves", 2), "middle")  # with h1, 128 bits of the line
-    hashed = b.written(hashes.select(*_PLACE, "h1", second.alias("h2"), "halves"), "line-hashes")
+    hashed = b.written(hashes.select(*_PLACE, "h1", second.alias("h2"), judged.alias("halves")), "line-hashes")
     first = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"))
     equal = hashed.select(*_PLACE, "h1", "h2").join(first, ["h1", "h2"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
 

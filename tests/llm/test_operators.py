@@ -113,6 +113,13 @@ def test_lines(spark, docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_short_lines(spark):
+    texts = ["Yes\nno\n\none two three four\nyes", "YES \n  one two  three four\none two three\n\n\u4e2d\u6587\n\u4e2d\u6587", "no"]
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["text"] for i in range(3)] == ["Yes\nno\n\none two three four", "one two three\n\n\u4e2d\u6587", ""]
+    assert [got[i]["n_removed"] for i in range(3)] == [1, 3, 1]
+
+
 def test_jaccard(docs, empty):
     sets = []
     for t in TEXTS:
