@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm import base as b
@@ -239,8 +239,8 @@ def _chunk_pairs(members: DataFrame, carry: str) -> DataFrame:
     return roles.select("token", "r.lo", "r.hi", "kind", carry, F.when(F.col("lo") == F.col("hi"), 2).when(F.col("chunk") == F.col("lo"), 0).otherwise(1).alias("role"))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, t: int = 80) -> DataFrame:
-    """id, n_shingles, component_id for every row of docs; documents link at a similarity of t percent or more."""
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -> tuple[DataFrame, DataFrame]:
+    """(_id, _fp, n) for every row of docs, and (_id, _fp, comp) for every row with words; a component is named by a class."""
     keyed = b.keyed(docs, id_col, text_col)
     tables = docs.sparkSession.sparkContext.broadcast(_frequencies(keyed, k))
 
@@ -354,12 +354,34 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = b.written(stars.union(more), "links")
     comps = components(links)
     labelled = light.join(comps, light.kind == comps.node, "left").select("_id", "_fp", F.coalesce("comp", "kind").alias("comp"))
+    return sketches.select("_id", "_fp", "n"), labelled
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, t: int = 80) -> DataFrame:
+    """id, n_shingles, component_id for every row of docs; documents link at a similarity of t percent or more."""
+    rows, labelled = labelled_rows(docs, id_col, text_col, k, t)
     least = labelled.groupBy("comp").agg(F.min("_id").alias("component"))
     per_row = labelled.join(least, "comp").groupBy("_id", "_fp").agg(F.min("component").alias("component"))
-    out = sketches.select("_id", "_fp", "n").join(per_row, ["_id", "_fp"], "left")
+    out = rows.join(per_row, ["_id", "_fp"], "left")
     component = F.coalesce("component", "_id")
     return out.select(b.unkeyed().alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(component != b.NULL_ID, component).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, t: int = 80) -> DataFrame:
+    """One row of docs for each component, the one of least id (null before all others), fingerprint and other columns; and all rows without words."""
+    rows, labelled = labelled_rows(docs, id_col, text_col, k, t)
+    copies = labelled.groupBy("comp", "_id", "_fp").agg(F.count("*").alias("copies"))
+    first = copies.groupBy("comp").agg(F.min(F.struct("_id", "_fp", "copies")).alias("first")).select("first.*")
+    without = rows.where("n = 0").select("_id", "_fp").distinct().withColumn("copies", F.lit(1).cast("long"))
+    first = b.written(first.union(without), "first-rows")
+    key = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(b.NULL_ID)).alias("_id"), F.shiftright(F.xxhash64(F.col(f"`{text_col}`")), 32).cast("int").alias("_fp")]
+    held = docs.select(F.struct("*").alias("row"), *key)
+    alone = held.join(first.where("copies = 1"), ["_id", "_fp"]).select("row.*")
+    # rows that repeat id and text: one of them, so only their texts move
+    number = F.row_number().over(Window.partitionBy("_id", "_fp").orderBy(*[F.col(f"row.`{c}`") for c in docs.columns]))
+    repeated = held.join(first.where("copies > 1"), ["_id", "_fp"]).withColumn("number", number).where("number = 1").select("row.*")
+    return alone.union(repeated)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(b.read(spark, sf_dir, "documents"), k=4, t=85)

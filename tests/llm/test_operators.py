@@ -300,3 +300,16 @@ def test_word_tokens():
     texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 40, 2000)]
     for t, ids in zip(texts, packing.WordTokens(path)([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == one.encode(t, add_special_tokens=False).ids
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    near, other, third = " ".join(WORDS[:80]), " ".join(WORDS[100:180]), " ".join(WORDS[200:280])
+    texts = [(3, near), (3, near), (3, near + " tail"), (5, near), (5, other), (4, other), (None, third), (None, third), (None, third + " tail"), (9, third), (11, PASSAGE)]
+    rows = [(i, t, "en", f"s{j}", len(t)) for j, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=lambda r: r[0] or 0)[2:] == [(4, other), (11, PASSAGE)] and len(kept) == 4
+    assert sorted(str(i) for i, _ in kept) == ["11", "3", "4", "None"]
+    assert dict(kept)[3].startswith(near) and dict(kept)[None].startswith(third)
