@@ -181,6 +181,13 @@ def test_quality(docs, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_quality_bands_on_labels(spark):
+    found = quality.quality(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("not base_failed")
+    judged = found.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    bad, good = ([r["kept"] for r in judged.where(f"quality = {q}").collect()] for q in (0, 1))
+    assert sum(bad) <= 0.2 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
