@@ -2,9 +2,12 @@
 
 Nulls and repeats, for every operator of this subpackage: a null text has no
 words and no bytes; a null id is kept as null in results and sorts before all
-others; rows that repeat an id are told apart by a fingerprint of their text.
+others; rows that repeat an id are told apart by a 64-bit fingerprint of their text.
 Columns that an operator does not use pass through or are ignored, whatever
 their names.
+
+Intermediate tables are Parquet in one folder for each application, below
+spark.checkpoint.dir; Hadoop deletes it when the driver's JVM ends.
 """
 
 from __future__ import annotations
@@ -60,24 +63,50 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop has them."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The application's own folder below spark.checkpoint.dir, which driver and executors share; it goes with the application."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/siltbed"  # one machine alone, as in tests
+    folder = f"{base.rstrip('/')}/{context.applicationId}"
+    if getattr(context, "_siltbed_folder", None) != folder:
+        path, system = _hadoop(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        context._siltbed_folder = folder
+    return folder
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:  # tests on one machine
-        base = "file:///tmp/siltbed-checkpoints"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, what: str, free: bool = False) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives its executors.
-
-    With `free`, the driver collects its garbage, so that Spark's cleaner removes the shuffle files that went into the table."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    if free:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    """A new name in the application's folder."""
+    return f"{run_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+#: Spark removes the shuffle files of an execution at its end: a written table is not computed again.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and outlives its executors. Its size is known, so joins with it are broadcast only below Spark's threshold."""
+    spark = df.sparkSession
+    path = shared_dir(spark, what)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    table = spark.read.schema(df.schema).parquet(path)
     table._siltbed_path = path
     return table
 
@@ -85,19 +114,18 @@ def written(df: DataFrame, what: str, free: bool = False) -> DataFrame:
 def drop_tables(*tables: DataFrame) -> None:
     """Deletes tables made by written(), once nothing is to be computed from them any more."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table._siltbed_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = _hadoop(table.sparkSession, table._siltbed_path)
+        system.delete(path, True)
+
+
+def row_key(id_col: str, text_col: str) -> list:
+    """_id (null as the least long) and _fp (fingerprint of the text)."""
+    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_fp")]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _fp, _text): id with null as the least long, fingerprint of the text, text."""
-    text = F.col(f"`{text_col}`")
-    return docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("_id"),
-        F.shiftright(F.xxhash64(text), 32).cast("int").alias("_fp"),
-        text.alias("_text"),
-    )
+    """(_id, _fp, _text): the row key and the text."""
+    return docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").alias("_text"))
 
 
 def unkeyed(column: str = "_id"):

@@ -273,7 +273,7 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need)]).astype(np.int32)), pa.array(prefix.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(kind.view(np.int64)), lists, cell_rows(doc, hashes, size)], ["_id", "_fp", "n", "kind", "prefix", "cells"])
 
-    sketches = b.written(keyed.mapInArrow(sketch, "_id long, _fp int, n int, kind long, prefix array<long>, cells binary"), "sketches")
+    sketches = b.written(keyed.mapInArrow(sketch, "_id long, _fp long, n int, kind long, prefix array<long>, cells binary"), "sketches")
     light = sketches.where("n > 0").select("_id", "_fp", "n", "kind")
     # a bucket for each prefix shingle with two classes or more; buckets of the same members fold into one. Rows of a class
     # are in the same buckets, so sums over rows tell members apart however often rows repeat; halves do not overflow
@@ -374,8 +374,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = copies.groupBy("comp").agg(F.min(F.struct("_id", "_fp", "copies")).alias("first")).select("first.*")
     without = rows.where("n = 0").select("_id", "_fp").distinct().withColumn("copies", F.lit(1).cast("long"))
     first = b.written(first.union(without), "first-rows")
-    key = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(b.NULL_ID)).alias("_id"), F.shiftright(F.xxhash64(F.col(f"`{text_col}`")), 32).cast("int").alias("_fp")]
-    held = docs.select(F.struct("*").alias("row"), *key)
+    held = docs.select(F.struct("*").alias("row"), *b.row_key(id_col, text_col))
     alone = held.join(first.where("copies = 1"), ["_id", "_fp"]).select("row.*")
     # rows that repeat id and text: one of them, so only their texts move
     number = F.row_number().over(Window.partitionBy("_id", "_fp").orderBy(*[F.col(f"row.`{c}`") for c in docs.columns]))
