@@ -54,6 +54,8 @@ def _halves() -> tuple[Column, Column]:
 
 
 _PLACE = ("_id", "_fp", "pos")
+#: Lines that are held against one copy of their earliest neighbour.
+PER_SALT = 500
 
 
 def _within_one(x: Column, y: Column) -> Column:
@@ -84,11 +86,11 @@ def removed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
     sides = by_half.join(shared, "half", "left_semi").groupBy("h1").agg(F.max(F.col("side") % 2 == 0).alias("front"), F.max(F.col("side") % 2 == 1).alias("back"))
     near = first.join(sides, "h1").select("h1", "h2", "front", "back", F.col("first").alias("place"))
     wanted = near.groupBy(F.col("place._id").alias("_id"), F.col("place._fp").alias("_fp")).agg(F.collect_list(F.struct(F.col("place.pos").alias("pos"), "h1", "h2", "front", "back")).alias("wanted"))
-    wanted = b.written(wanted, "wanted-lines", free=True)  # before texts are shuffled
+    wanted = b.written(wanted, "wanted-lines")  # before texts are shuffled
     text = F.split(_plain(F.col("_text")), "\n")
     pick = lambda line, i: F.struct(line.alias("line"), F.filter("wanted", lambda x: x.pos == i).alias("s"))
     rows = keyed.join(wanted, ["_id", "_fp"]).select("_id", "_fp", F.inline(F.transform(text, pick))).where(F.size("s") > 0).select("_id", "_fp", "line", F.inline("s"))
-    left = b.written(rows.select(F.struct(*_PLACE).alias("place"), "h1", "h2", "front", "back", _words(F.col("line")).alias("words")), "near-lines", free=True)
+    left = b.written(rows.select(F.struct(*_PLACE).alias("place"), "h1", "h2", "front", "back", _words(F.col("line")).alias("words")), "near-lines")
 
     # the deletion neighbourhood: XOR of (word, place) before the gap and of (word, place - 1) behind it
     each = left.repartition("h1", "h2").select("h1", "h2", "front", "back", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
@@ -109,31 +111,35 @@ def removed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
     )
     variants = gone.select("h1", F.inline(keys)).where("key is not null")
     met = variants.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("key")
-    met = b.written(variants.join(met, "key").join(left.select("h1", "place"), "h1").select("key", "role", "place"), "variants", free=True)
+    met = b.written(variants.join(met, "key").join(left.select("h1", "place"), "h1").select("key", "role", "place"), "variants")
     earliest = lambda *roles: F.min(F.when(F.col("role").isin(*roles), F.col("place")))
     best = met.groupBy("key").agg(earliest(0, 1).alias("short"), earliest(0, 2).alias("long"))
     other = F.when(F.col("role") == 1, F.col("long")).otherwise(F.col("short"))
-    pairs = met.join(best, "key").select("place", other.alias("other")).where("other < place").distinct()
+    pairs = b.written(met.join(best, "key").select("place", other.alias("other")).where("other < place").distinct(), "line-pairs")
+    # many lines may have one earliest neighbour, whose words are laid out once for each PER_SALT of them
+    parts = F.ceil(F.count("*") / PER_SALT).cast("int").alias("parts")
+    crowded = b.written(pairs.groupBy("other").agg(parts).where("parts > 1"), "crowded")
+    part = F.pmod(F.xxhash64("place"), F.col("parts")).cast("int")
+    salted = pairs.join(crowded, "other", "left").select("place", "other", F.coalesce(part, F.lit(0)).alias("part"))
+    theirs = left.select(F.col("place").alias("other"), F.col("words").alias("theirs")).join(crowded, "other", "left")
+    laid_out = theirs.select("other", "theirs", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     mine = left.select("place", F.col("words").alias("mine"))
-    theirs = left.select(F.col("place").alias("other"), F.col("words").alias("theirs"))
-    close = pairs.join(mine, "place").join(theirs, "other").where(_within_one(F.col("mine"), F.col("theirs")))
-    gone = b.written(equal.union(close.select("place.*")).distinct(), "gone-lines", free=True)
-    b.drop_tables(hashed, wanted, left, met)
+    close = salted.join(mine, "place").join(laid_out, ["other", "part"]).where(_within_one(F.col("mine"), F.col("theirs")))
+    gone = b.written(equal.union(close.select("place.*")).distinct(), "gone-lines")
+    b.drop_tables(hashed, wanted, left, met, pairs, crowded)
     return gone
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """docs with the text that is left, and n_lines and n_removed; columns of those two names are replaced."""
-    keyed = b.keyed(docs, id_col, text_col)
-    gone = removed_lines(keyed, min_words).groupBy("_id", "_fp").agg(F.collect_list("pos").alias("_gone"))
-    text = F.col(f"`{text_col}`")
+    gone = removed_lines(b.keyed(docs, id_col, text_col), min_words).groupBy("_id", "_fp").agg(F.collect_list("pos").alias("gone"))
     own = docs.drop("n_lines", "n_removed")
-    key = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(b.NULL_ID)).alias("_id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("_fp")]
-    joined = own.select("*", *key).join(gone, ["_id", "_fp"], "left")
+    joined = own.select(F.struct("*").alias("row"), *b.row_key(id_col, text_col)).join(gone, ["_id", "_fp"], "left")
+    text = F.col(f"row.`{text_col}`")
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    columns = [F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in own.columns]
-    return joined.select(*columns, F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    columns = [F.when(F.col("gone").isNull(), text).otherwise(kept).alias(text_col) if c == text_col else F.col(f"row.`{c}`") for c in own.columns]
+    return joined.select(*columns, F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
