@@ -65,8 +65,27 @@ def in_order(text: list[bytes], template: list[bytes]) -> int:
     return row[-1]
 
 
+def phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> dict[str, list[int]]:
+    """label -> where its phrase's words stand consecutively."""
+    found = {}
+    joined = b" ".join(words)
+    for p, label in phrases:
+        if b" ".join(p) not in joined:
+            continue
+        hit = [i for i in range(len(words) - len(p) + 1) if words[i] == p[0] and words[i : i + len(p)] == p]
+        if hit:
+            found[label] = hit
+    return found
+
+
+_BASE = "_id long, _fp long, n_words long, n_base long, first_word long, last_word long, base string"
+_LABEL = "_id long, _fp long, spans array<struct<label: string, from: long, to: long, share: double>>"
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, near: int = 3, least: float = 0.9, templates=None) -> DataFrame:
-    """id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, from, to, share) for every row."""
+    """id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, from, to, share) for every row.
+
+    Only texts with votes are read again for verification, and only narrow rows meet at the end."""
     spark = docs.sparkSession
     templates = templates or TEMPLATES
     words = [_words(t) for _, t in templates]
@@ -84,52 +103,54 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[spot]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["_id", "_fp", "hashes"])
 
-    grams = keyed.mapInArrow(roll, "_id long, _fp int, hashes array<long>").select("_id", "_fp", F.posexplode("hashes").alias("pos", "hash"))
+    grams = keyed.mapInArrow(roll, "_id long, _fp long, hashes array<long>").select("_id", "_fp", F.posexplode("hashes").alias("pos", "hash"))
     votes = grams.join(F.broadcast(where), "hash").groupBy("_id", "_fp", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     line = Window.partitionBy("_id", "_fp", "template").orderBy("diagonal")
     spans = (
         votes.withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > near, F.lit(True)).cast("int"))
         .withColumn("island", F.sum("new").over(line))
-        .groupBy("_id", "_fp", "template", "island").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .groupBy("_id", "_fp").agg(F.collect_list(F.struct("template", "lo", "hi", "votes")).alias("spans"))
+        .groupBy("_id", "_fp", "template", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .groupBy("_id", "_fp").agg(F.sort_array(F.collect_list(F.struct("template", "lo", "hi"))).alias("found"))
     )
+    spans = b.written(spans, "voted")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in b.pieces(batches, "_text"):
             rows = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = _words(text) if text else []
-                at = {}
-                for p, label in phrases:
-                    last = p[-1]
-                    hit, i = [], -1
-                    if own and b" ".join(p) in b" ".join(own):
-                        for i, w in enumerate(own):
-                            if w == last and i + 1 >= len(p) and own[i + 1 - len(p) : i + 1] == p:
-                                hit.append(i + 1 - len(p))
-                    if hit:
-                        at[label] = hit
+            for raw in texts:
+                own = b.ALNUM.findall(raw.lower())
+                at = phrase_places(own, phrases)
                 starts = [x for hit in at.values() for x in hit]
-                spans = []
-                for s in found or ():
+                rows.append((len(own), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(at))))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.string(),), strict=True))], ["_id", "_fp", "n_words", "n_base", "first_word", "last_word", "base"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("label", pa.string()), ("from", pa.int64()), ("to", pa.int64()), ("share", pa.float64())]))
+        for batch, texts in b.pieces(batches, "_text"):
+            out = []
+            for raw, found in zip(texts, batch.column(3).to_pylist(), strict=True):
+                own, spans = b.ALNUM.findall(raw.lower()), []
+                for s in found:
                     label, template = templates[s["template"]][0], words[s["template"]]
                     lo, hi = max(0, s["lo"] - len(template)), s["hi"] + k + len(template)
                     # a long span holds the notice more than once; every vote lies inside
-                    part = own[max(lo, s["lo"] - len(template)) : hi]
+                    part = own[lo:hi]
                     share = max((in_order(part[x : x + 4 * len(template)], template) for x in range(0, max(1, len(part)), 2 * len(template))), default=0) / len(template)
                     if share >= least:
                         spans.append({"label": label, "from": s["lo"], "to": s["hi"] + k, "share": share})
-                labels = sorted({*at, *(s["label"] for s in spans)})
-                score = 1.0 if at else max((s["share"] for s in spans), default=0.0)
-                rows.append((len(own), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(at)), ",".join(labels), score, spans))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            span = pa.list_(pa.struct([("label", pa.string()), ("from", pa.int64()), ("to", pa.int64()), ("share", pa.float64())]))
-            kinds = (pa.int64(),) * 4 + (pa.string(), pa.string(), pa.float64(), span)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
-
-    schema = "_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, from: long, to: long, share: double>>"
-    out = keyed.join(spans, ["_id", "_fp"], "left").select("_id", "_text", "spans").mapInArrow(verify, schema)
-    return out.withColumn("_id", b.unkeyed()).withColumnRenamed("_id", id_col)
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, span)], ["_id", "_fp", "spans"])
+
+    # rows that repeat id and text have one result, and votes are counted once for all of them
+    verified = keyed.join(spans, ["_id", "_fp"]).select("_id", "_fp", "_text", "found").mapInArrow(verify, _LABEL).where(F.size("spans") > 0).dropDuplicates(["_id", "_fp"])
+    rows = keyed.mapInArrow(base, _BASE).join(b.written(verified, "verified"), ["_id", "_fp"], "left")
+    both = F.array_remove(F.concat(F.split("base", ","), F.coalesce(F.transform("spans", lambda s: s.label), F.array().cast("array<string>"))), "")
+    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("spans", lambda s: s.share)), F.lit(0.0)))
+    return rows.select(
+        b.unkeyed().alias(id_col), "n_words", "n_base", "first_word", "last_word", F.col("base").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(both)), ",").alias("labels"), score.alias("score"), F.coalesce("spans", F.array().cast("array<struct<label: string, from: long, to: long, share: double>>")).alias("spans"),
+    )
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
