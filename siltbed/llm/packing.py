@@ -14,9 +14,10 @@ all their rows. No tokens are lost, cut twice or reordered within a document.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
-
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -118,9 +119,39 @@ class WordTokens:
         return [ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
+class PlainTokens:
+    """Token ids of texts, each encoded whole: for a tokenizer of any kind."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+
+#: Fixed value: the units that WordTokens knows, as a tokenizer's file writes them; none has white space.
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer's ids are those of its words in turn and its case is folded, as WordTokens takes for granted."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    steps = [(x.get("type"), x.get("content"), x.get("pattern")) for x in (t["normalizer"] or {}).get("normalizers", [])]
+    split = ((t["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    model = t["model"]
+    return (
+        steps == [("NFC", None, None), ("Replace", " ", {"Regex": r"\s+"}), ("Lowercase", None, None)]
+        and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": UNITS}, "Removed", True)
+        and (model["type"], model.get("end_of_word_suffix"), model.get("dropout"), model.get("continuing_subword_prefix")) == ("BPE", "</w>", None, None)
+        and all(not re.search(r"\s", x["content"]) for x in t["added_tokens"])
+    )
+
+
 @lru_cache(2)
-def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+def word_tokens(path: str) -> WordTokens | PlainTokens:
+    return WordTokens(path) if by_words(path) else PlainTokens(path)
 
 
 class CapacityTree:
@@ -196,11 +227,13 @@ def best_fit_plan(lengths: dict[int, int], size: int) -> list[tuple[int, int, in
     return plan
 
 
-_PIECE = "_id long, start long, length int, ids binary, doc_tokens long, task int, rank long"
+_PIECE = "_id long, start long, length int, ids binary, ids_crc32 long, doc_tokens long, task int, rank long"
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, size: int = 4096) -> DataFrame:
-    """id, start, length, ids (binary, little-endian 32 bits), doc_tokens, sequence_id, offset for every piece."""
+    """id, start, length, ids (binary, little-endian 32 bits), ids_crc32, doc_tokens, sequence_id, offset for every piece.
+
+    Only what is asked for travels: without `ids` rows are narrow. `tokenizer` is any file of the tokenizers library."""
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -214,14 +247,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 for at in range(0, total, size):
                     n = min(size, total - at)
                     ranks[n] = ranks.get(n, -1) + 1
-                    rows.append((i, at, n, ids[4 * at : 4 * (at + n)], total, task, ranks[n]))
+                    piece = ids[4 * at : 4 * (at + n)]
+                    rows.append((i, at, n, piece, zlib.crc32(piece), total, task, ranks[n]))
             cols = zip(*rows, strict=True)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_id", "start", "length", "ids", "doc_tokens", "task", "rank"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "task", "rank"])
 
     found = b.written(b.keyed(docs, id_col, text_col).select("_id", "_text").mapInArrow(cut, _PIECE), "pieces")
     counts = found.groupBy("task", "length").agg(F.count("*").alias("n"))
-    base = counts.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base"))
+    base = b.written(counts.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base")), "bases")
     total = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `size` rows at most
     plan = best_fit_plan(total, size)
     spark = docs.sparkSession
@@ -229,11 +263,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     ranked = found.join(base, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     placed = ranked.join(F.broadcast(places), "length").where((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n")))
     return placed.select(
-        b.unkeyed().alias(id_col), "start", F.col("length").cast("long").alias("length"), "ids", "doc_tokens",
+        b.unkeyed().alias(id_col), "start", F.col("length").cast("long").alias("length"), "ids", "ids_crc32", "doc_tokens",
         (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset",
     )
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(b.read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
