@@ -43,25 +43,38 @@ def _name(i: int) -> bytes:
 
 
 def record_table(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int, chunk: int) -> DataFrame:
-    """The chunk rows to write, those of a record one after the other."""
-    rows = pages.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(b.NULL_ID)).alias("id"),
-        F.col(f"`{url_col}`").cast("string").alias("url"),
-        F.coalesce(F.encode(F.col(f"`{html_col}`"), "utf-8"), F.lit(b"")).alias("payload"),
-    ).select("*", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("size"))
-    first = rows.groupBy("sha", "size").agg(F.min("id").alias("first"))
-    typed = rows.join(first, ["sha", "size"]).withColumn("refers", F.when((F.col("size") >= least) & (F.col("id") != F.col("first")), F.col("first")))
-    count = F.when(F.col("refers").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / chunk)))
-    parts = typed.select("id", "url", "sha", "size", "refers", "payload", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("chunk_no"))
-    data = F.when(F.col("refers").isNull(), F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
-    return parts.select("id", "url", "sha", "size", "refers", "chunk_no", data.alias("data"))
+    """The chunk rows to write, those of a record one after the other.
+
+    Payloads are cut into chunks where they are read. Which records are revisits is told from ids, digests and sizes alone,
+    so no whole payload is sorted or sent; a payload that is sent goes by the record's own key, which no group of equal
+    pages shares."""
+    payload = F.coalesce(F.encode(F.col(f"`{html_col}`"), "utf-8"), F.lit(b""))
+    id_ = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(b.NULL_ID)).alias("id")
+    narrow = pages.select(id_, F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("size")).where(F.col("size") >= least)
+    first = narrow.groupBy("sha", "size").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    revisits = narrow.join(b.written(first.select("sha", "size", "first"), "first-pages"), ["sha", "size"]).where("id <> first")
+    revisits = b.written(revisits.select("id", "sha", F.col("first").alias("refers")).distinct(), "revisits")
+
+    rows = pages.select(id_, F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("*", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("size"))
+    count = F.greatest(F.lit(1), F.ceil(F.col("size") / chunk)).cast("int")
+    parts = rows.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_no"))
+    parts = parts.select("id", "row", "url", "sha", "size", "chunk_no", F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
+    typed = parts.join(revisits, ["id", "sha"], "left").where(F.col("refers").isNull() | (F.col("chunk_no") == 0))
+    data = F.when(F.col("refers").isNull(), F.col("data")).otherwise(F.lit(b""))
+    return typed.select("id", "row", "url", "sha", "size", "refers", "chunk_no", data.alias("data")).sortWithinPartitions("id", "row", "chunk_no")
+
+
+def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system of a URI as Hadoop writes it."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, chunk: int = 1 << 20, date: str = "2024-01-01T00:00:00Z") -> list[str]:
     """Writes the archives below folder and returns their paths, one for each task that had rows."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, at = fs.FileSystem.from_uri(folder)
+        system, at = _file_system(folder)
         task = TaskContext.get()
         name, temporary = f"{at}/{task.partitionId():06d}.warc.gz", f"{at}/_{task.partitionId():06d}-{task.taskAttemptId()}"
         out, records, packer, seen = None, 0, None, None
@@ -109,7 +122,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
 def parse(path: str, chunk: int) -> Iterator[dict]:
     """The chunk rows of one archive."""
-    system, at = fs.FileSystem.from_uri(path)
+    system, at = _file_system(path)
     with system.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw) as f:
         while True:
             line = f.readline()
