@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltbed.functions.scalars import utc
+
 
 def check_bits(n_bits: int) -> int:
     if not 4 <= n_bits <= 16:
@@ -12,8 +14,21 @@ def check_bits(n_bits: int) -> int:
     return n_bits
 
 
+def check_index(index: int, n_bits: int = 8) -> int:
+    if not 0 <= index < 1 << check_bits(n_bits):
+        raise ValueError(f"a shard index of {n_bits} bits must be from 0 to {(1 << n_bits) - 1}")
+    return index
+
+
+def normalize_uid(uid: Column) -> Column:
+    """Text of a text or whole-number uid; other types are an error."""
+    ok = F.typeof(uid).isin("string", "tinyint", "smallint", "int", "bigint", "void") | F.startswith(F.typeof(uid), F.lit("decimal"))
+    return F.when(ok, uid.cast("string")).otherwise(F.raise_error(F.lit("a uid must be text or a whole number")).cast("string"))
+
+
 def date_dir(created_at: Column) -> Column:
-    return F.date_format(created_at, "yyyyMMdd")
+    """The UTC day."""
+    return F.replace(F.left(utc(created_at).cast("string"), F.lit(10)), F.lit("-"), F.lit(""))
 
 
 def shard_index(uid: Column, n_bits: int = 8) -> Column:
@@ -38,9 +53,17 @@ def shard_file(day: Column, hex_: Column, seq: Column) -> Column:
 
 def iso_utc(ts: Column) -> Column:
     """ISO 8601 with Z; a fraction of six digits only where there is one."""
-    ts = ts.cast("timestamp")
-    whole = F.pmod(F.unix_micros(ts), F.lit(1_000_000)) == 0
-    return F.when(whole, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    text = F.replace(utc(ts).cast("string"), F.lit(" "), F.lit("T"))
+    return F.concat(F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text), F.lit("Z"))
+
+
+def meta_file(shard: Column) -> Column:
+    """The sidecar's name."""
+    return F.concat(F.regexp_replace(shard, r"\.des\z", ""), F.lit(".meta"))
+
+
+def bigfile_key(digest: Column, folder: str = "") -> Column:
+    return F.concat(F.lit(f"{folder.rstrip('/')}/" if folder else ""), F.lit("_bigFiles/"), digest)
 
 
 def metadata_key(uid: Column, ts: Column) -> Column:
@@ -58,9 +81,3 @@ SKIP_SUFFIXES = [".jpg", ".jpeg", ".png", ".gif", ".gz", ".zip", ".bz2", ".xz"]
 def should_compress(name: Column, codec: str = "zstd") -> Column:
     suffix = F.lower(F.regexp_extract(name, r"[^/](\.[^./]+)$", 1))
     return F.lit(codec != "none") & ~suffix.isin(SKIP_SUFFIXES)
-
-
-def prune(df, uid: str, created_at: str, n_bits: int = 8):
-    """df cut to the one partition that a key can be in."""
-    day = F.date_format(F.lit(created_at).cast("timestamp"), "yyyyMMdd")
-    return df.where((F.col("date_dir") == day) & (F.col("shard_index") == shard_index(F.lit(uid), n_bits)) & (F.col("uid") == uid))
