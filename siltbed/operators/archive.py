@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.functions import routing, scalars
+
 
 def eligible(files: DataFrame, cutoff: Column) -> DataFrame:
     """Older than the cutoff and not archived; an unknown flag is not eligible."""
@@ -23,6 +25,18 @@ def statistics(files: DataFrame, with_size: bool = True) -> DataFrame:
     return files.agg(F.count("*").alias("total_files"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_size_bytes"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
 
 
+def coerce(rows: DataFrame, strict: bool = True) -> DataFrame:
+    """Rows of a source as the engine wants them: uid as text, created_at as a UTC wall clock, size as a whole number. With `strict`
+    created_at must be a time already; else ISO text is parsed."""
+    kinds = dict(rows.dtypes)
+    timed = kinds["created_at"] in ("timestamp", "timestamp_ntz")
+    if strict and not timed:
+        raise TypeError("created_at must be a time")
+    at = scalars.utc(F.col("created_at")) if timed else scalars.parse_iso(F.col("created_at").cast("string"))
+    out = rows.withColumns({"uid": routing.normalize_uid(F.col("uid")), "created_at": at})
+    return out.withColumn("size_bytes", F.col("size_bytes").cast("bigint")) if "size_bytes" in kinds else out
+
+
 def in_window(files: DataFrame, start: Column, end: Column) -> DataFrame:
     """(start, end]"""
     return files.where((F.col("created_at") > start) & (F.col("created_at") <= end))
@@ -44,13 +58,12 @@ def target_cutoff(now: Column, lag_days: Column) -> Column:
 def compute_window(state: DataFrame, now: Column) -> DataFrame:
     """The next window of the watermark state; empty (end = start) if the watermark is ahead."""
     end = F.greatest(F.col("archived_until"), target_cutoff(now, F.col("lag_days")))
-    return state.select(F.col("archived_until").alias("window_start"), end.alias("window_end"), "lag_days")
+    return state.select("id", F.col("archived_until").alias("window_start"), end.alias("window_end"), "lag_days")
 
 
 def advance(state: DataFrame, window: DataFrame) -> DataFrame:
-    """The state after the window, which never goes back."""
-    w = window.select("window_end")
-    return state.crossJoin(F.broadcast(w)).select("id", F.greatest("archived_until", "window_end").alias("archived_until"), "lag_days")  # one row each
+    """The state after its window (by id), which never goes back."""
+    return state.join(window.select("id", "window_end"), "id", "left").select("id", F.greatest("archived_until", "window_end").alias("archived_until"), "lag_days")
 
 
 def lag(state: DataFrame, now: Column) -> DataFrame:

@@ -18,12 +18,40 @@ def bigfile_uploads(split: DataFrame) -> DataFrame:
 
 
 def checksum_audit(payloads: DataFrame, recorded: DataFrame) -> DataFrame:
-    """verified, corrupted or missing_checksum for each entry of the recorded checksums."""
+    """verified, corrupted or missing_checksum for each entry of the recorded checksums. An entry without uid or time, without a
+    payload, or with another algorithm than SHA-256 (checksum_algo, if recorded has it) is corrupted."""
     now = payloads.select("uid", "created_at", F.sha2("payload", 256).alias("actual"))
-    status = F.when(F.col("checksum").isNull(), "missing_checksum").when(F.col("actual").isNull() | (F.col("actual") != F.col("checksum")), "corrupted").otherwise("verified")
+    unsure = F.col("uid").isNull() | F.col("created_at").isNull()
+    if "checksum_algo" in recorded.columns:
+        unsure |= F.col("checksum").isNotNull() & (F.coalesce("checksum_algo", F.lit("sha256")) != "sha256")
+    status = F.when(unsure, "corrupted").when(F.col("checksum").isNull(), "missing_checksum").when(F.col("actual").isNull() | (F.col("actual") != F.col("checksum")), "corrupted").otherwise("verified")
     return recorded.join(now, ["uid", "created_at"], "left").withColumn("status", status)
 
 
+def first_entries(entries: DataFrame, n: int, order: str = "ord") -> DataFrame:
+    """The first n entries of a shard in index order: what a quick audit looks at."""
+    return entries.orderBy(order).limit(n)
+
+
+def first_errors(rows: DataFrame, n: int = 10, order: str = "ord") -> DataFrame:
+    """The first n rows whose status is not ok."""
+    return rows.where("status <> 'ok'").orderBy(order).limit(n)
+
+
+def random_shards(shards: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
+    """n shards by the order of a seeded hash of their names: the same ones whenever the seed is the same."""
+    return shards.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "shard_file").cast("binary")), "shard_file").limit(n)
+
+
+def compression(entries: DataFrame) -> DataFrame:
+    """Full over stored bytes, and the calls of an object store that shards save: one for each entry but one for each shard."""
+    return entries.agg(
+        F.round(F.try_divide(F.sum("size").cast("double"), F.sum("length")), 6).alias("compression_ratio"),
+        (F.count("*") - F.count_distinct("shard_file")).alias("calls_saved"),
+        F.round(100.0 * (1 - F.try_divide(F.count_distinct("shard_file"), F.count("*"))), 6).alias("calls_saved_pct"),
+    )
+
+
 def differences(index: DataFrame, meta: DataFrame) -> DataFrame:
     """uids of one side alone."""
     a, c = index.select("uid").distinct(), meta.select("uid").distinct()

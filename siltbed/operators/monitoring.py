@@ -1,18 +1,49 @@
-"""Metric samples (name, ts, value): rates, ratios, quantiles, stalls, holds."""
+"""Metric samples (name, ts, event_id, value): rates, ratios, quantiles, stalls, holds.
+
+A metric's whole history is never one window: samples are ordered within (name, day), and what crosses an edge
+is told from one row for each day.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.functions import scalars
+
+def _by_day(samples: DataFrame) -> DataFrame:
+    return samples.withColumn("day", F.to_date(scalars.utc(F.col("ts"))))
+
+
+def _steps(samples: DataFrame, value: str, step, total: str) -> DataFrame:
+    """(name, total, first_ts, last_ts): the sum of step(before, value) over successive samples of a name."""
+    inner = Window.partitionBy("name", "day").orderBy("ts", "event_id")
+    rows = _by_day(samples).withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(inner))
+    rows = rows.withColumn("_step", F.when(F.col("_before").isNotNull(), step(F.col("_before.v"), F.col(value))))
+    place = F.struct("ts", "event_id")
+    days = rows.groupBy("name", "day").agg(
+        F.sum("_step").alias("inside"), F.min_by(F.struct(F.col(value).alias("v")), place).alias("first"), F.max_by(F.struct(F.col(value).alias("v")), place).alias("last"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+    )
+    edge = F.lag("last").over(Window.partitionBy("name").orderBy("day"))
+    days = days.withColumn("edge", edge).withColumn("across", F.when(F.col("edge").isNotNull(), step(F.col("edge.v"), F.col("first.v"))))
+    return days.groupBy("name").agg((F.coalesce(F.sum("inside"), F.lit(0)) + F.coalesce(F.sum("across"), F.lit(0))).alias(total), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
+def _seconds(later: Column, earlier: Column) -> Column:
+    return F.unix_seconds(later.cast("timestamp")) - F.unix_seconds(earlier.cast("timestamp"))
+
 
 def increase(samples: DataFrame, value: str = "counter") -> DataFrame:
     """Reset-aware increase of a counter and its rate over the observed seconds, for each name."""
-    w = Window.partitionBy("name").orderBy("ts", "event_id")
-    before = F.lag(value).over(w)
-    step = F.when(before.isNull(), 0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    seconds = F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))
-    return samples.withColumn("step", step).groupBy("name").agg(F.sum("step").cast("long").alias("increase"), F.round(F.sum("step") / seconds, 6).alias("rate"))
+    out = _steps(samples, value, lambda before, now: F.when(now < before, now).otherwise(now - before), "increase")
+    seconds = _seconds(F.col("last_ts"), F.col("first_ts"))
+    return out.select("name", F.col("increase").cast("long").alias("increase"), F.round(F.try_divide(F.col("increase"), seconds), 6).alias("rate"))
+
+
+def changes(samples: DataFrame, value: str = "value") -> DataFrame:
+    out = _steps(samples, value, lambda before, now: F.when(now != before, 1).otherwise(0), "changes")
+    return out.select("name", F.col("changes").cast("long").alias("changes"))
 
 
 def histogram(samples: DataFrame, bounds: list[float]) -> DataFrame:
@@ -32,15 +63,23 @@ def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:
     return hit.groupBy("name").agg(F.round(F.min(value), 6).alias("quantile"))
 
 
-def changes(samples: DataFrame, value: str = "value") -> DataFrame:
-    w = Window.partitionBy("name").orderBy("ts", "event_id")
-    return samples.withColumn("b", F.lag(value).over(w)).groupBy("name").agg(F.count_if(F.col(value) != F.col("b")).alias("changes"))
+def held_above(samples: DataFrame, threshold: float, seconds: int) -> DataFrame:
+    """Stretches in which a gauge stays above the threshold for at least the given time (gaps and islands; an island is
+    named by the number of samples below it so far)."""
+    flagged = _by_day(samples).withColumn("below", F.when(F.col("value") > threshold, 0).otherwise(1))
+    days = flagged.groupBy("name", "day").agg(F.sum("below").alias("n"))
+    earlier = Window.partitionBy("name").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    base = days.select("name", "day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = F.sum("below").over(Window.partitionBy("name", "day").orderBy("ts", "event_id"))
+    rows = flagged.withColumn("inside", within).where("below = 0").join(base, ["name", "day"])
+    out = rows.groupBy("name", (F.col("base") + F.col("inside")).alias("island")).agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.count("*").alias("samples"))
+    return out.where(_seconds(F.col("until"), F.col("since")) >= seconds).drop("island")
 
 
-def held_above(samples: DataFrame, threshold: float, seconds: int) -> DataFrame:
-    """Stretches in which a gauge stays above the threshold for at least the given time (gaps and islands)."""
-    w = Window.partitionBy("name").orderBy("ts", "event_id")
-    flagged = samples.withColumn("over", F.col("value") > threshold)
-    islands = flagged.withColumn("island", F.sum(F.when(F.col("over"), 0).otherwise(1)).over(w)).where("over")
-    out = islands.groupBy("name", "island").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.count("*").alias("samples"))
-    return out.where(F.unix_seconds(F.col("until").cast("timestamp")) - F.unix_seconds(F.col("since").cast("timestamp")) >= seconds).drop("island")
+def cycle_figures(cycles: DataFrame) -> DataFrame:
+    """Success in percent, files and MiB a second, and the 95th percentile of seconds, over cycles (status, files, bytes, seconds)."""
+    good = F.count_if(F.col("status") == "success")
+    return cycles.agg(
+        F.round(F.try_divide(100.0 * good, F.count("*")), 6).alias("success_pct"), F.round(F.try_divide(F.sum("files").cast("double"), F.sum("seconds")), 6).alias("files_per_second"),
+        F.round(F.try_divide(F.sum("bytes").cast("double") / 1048576, F.sum("seconds")), 6).alias("mib_per_second"), F.round(F.percentile("seconds", 0.95), 6).alias("p95_seconds"),
+    )

@@ -18,22 +18,23 @@ def route(files: DataFrame, n_bits: int = 8) -> DataFrame:
 
 
 def check_sizes(files: DataFrame) -> DataFrame:
-    """Raises where a size is negative."""
-    size = F.when(F.col("size_bytes") < 0, F.raise_error(F.lit("size_bytes must not be negative")).cast("bigint")).otherwise(F.col("size_bytes"))
-    return files.withColumn("size_bytes", size)
+    """Sizes as whole numbers, an unknown one as 0; raises where one is negative or no number."""
+    size = F.coalesce(F.col("size_bytes").cast("bigint"), F.lit(0).cast("bigint"))
+    return files.withColumn("size_bytes", F.when(size < 0, F.raise_error(F.lit("size_bytes must not be negative")).cast("bigint")).otherwise(size))
 
 
 def estimate(routed: DataFrame, most: int) -> DataFrame:
     return routed.groupBy("date_dir", "shard_hex").agg(F.expr(f"(sum(size_bytes) + {most - 1}) div {most}").alias("estimated_shards"))
 
 
-def plan(routed: DataFrame, most: int) -> DataFrame:
+def plan(routed: DataFrame, most: int, keep: list[str] | None = None) -> DataFrame:
     """Adds shard_seq, the 0-based shard of each file in its key: files in order of ord go into the open shard,
     which closes when it has files and the next one would not fit. Next fit is sequential within a key: keys are dealt
-    to partitions, sorted there by Spark (which spills), and stream through one fold that holds a single total."""
+    to partitions, sorted there by Spark (which spills), and stream through one fold that holds a single total.
+    A key is a day and one of 2^n_bits hashes, so more bits bound what one task streams. Columns of `keep` stay."""
     if most <= 0:
         raise ValueError("the shard size must be positive")
-    own = check_sizes(routed).select("date_dir", "shard_hex", "uid", "created_at", "size_bytes", "ord")
+    own = check_sizes(routed).select("date_dir", "shard_hex", "uid", "created_at", "size_bytes", "ord", *(keep or []))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, seq, total = None, 0, None

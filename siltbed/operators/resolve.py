@@ -41,6 +41,18 @@ def entry_with_fallback(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return out.withColumn("checksum", F.when(F.col("rank").isNotNull(), F.col("checksum")))
 
 
+def delete_target(requests: DataFrame, entries: DataFrame, index: DataFrame) -> DataFrame:
+    """requests (req_id, date_dir, shard_hex, uid, created_at) with the first shard by name whose sidecar has the entry (entries: shard_file, date_dir,
+    shard_hex, uid, created_at; a null time is the bare uid) or else whose index has the uid; null if none."""
+    e = entries.select(*KEY, "shard_file", F.col("created_at").alias("entry_at"))
+    found = requests.join(e, KEY, "left")
+    n = F.count("entry_at").over(Window.partitionBy("req_id", "shard_file"))
+    named = found.withColumn("_n", n).where((F.col("entry_at") == F.col("created_at")) | (F.col("shard_file").isNotNull() & F.col("entry_at").isNull()) | (F.col("_n") == 1)).select("req_id", "shard_file")
+    held = requests.join(index.select(*KEY, "shard_file"), KEY).select("req_id", "shard_file")
+    first = named.union(held).groupBy("req_id").agg(F.min("shard_file").alias("target"))
+    return requests.join(first, "req_id", "left")
+
+
 def zone_of(routed: DataFrame, zones: DataFrame) -> DataFrame:
     """Zones as one row for each index (a fixed number, 2^n_bits), so that the range lookup is an equi-join."""
     each = zones.select("zone", F.explode(F.sequence("start", "end")).alias("shard_index"))
