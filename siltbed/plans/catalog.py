@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltbed.functions import routing as r
 from siltbed.operators import access, archive, audit, lifecycle, monitoring, planner, resolve
+from siltbed.plans import more
 from siltbed.plans import views as v
 from siltbed.plans.views import BIG, BITS, CUT, MOST, NOW, SQL_FILES, SQL_PAYLOADS, SQL_PLAN, SQL_ROUTED, UNTIL, ntz
 
@@ -40,11 +41,14 @@ def _index(s, d):
     return planner.offsets(m).withColumn("length", F.col("size_bytes"))
 
 
-def _state(s):
-    return s.range(1).select(F.lit(1).alias("id"), ntz(UNTIL).alias("archived_until"), F.lit(7).alias("lag_days"))
+def _state(s, d, late: int = 0):
+    """The watermark ten days into the files' time, or `late` days more; now is the last file's time."""
+    until = F.date_trunc("day", F.min("created_at")).cast("timestamp_ntz") + F.make_dt_interval(F.lit(9 + late))
+    return _files(s, d).agg(F.lit(1).alias("id"), until.alias("archived_until"), F.max("created_at").alias("now")).withColumn("lag_days", F.lit(7))
 
 
 _F = f"with files as ({SQL_FILES})"
+_S = f"{_F}, state as (select 1 id, date_trunc('day', min(created_at)) + interval 9 day archived_until, max(created_at) now_, 7 lag_days from files), target as (select *, date_trunc('day', now_ - interval 7 day) cut from state)"
 _R = f"with {SQL_ROUTED}"
 _P = f"with recursive {SQL_ROUTED}, {SQL_PLAN}"
 _I = f"{_P}, idx as (select *, date_dir || '_' || shard_hex || '_' || lpad(cast(shard_seq as varchar), 4, '0') || '.des' shard_file, 8 + coalesce(sum(size_bytes) over (partition by date_dir, shard_hex, shard_seq order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\" from plan)"
@@ -65,9 +69,11 @@ def route_zone(s, d):
     return resolve.zone_of(_routed(s, d), _zones(s)).groupBy("zone").agg(F.count("*").alias("n"))
 
 
-@query("select 7 as shard_index, 2::bigint as zones")
+@query("with z as (select n_nationkey n, n_nationkey % 13 a, n_nationkey % 13 + n_nationkey % 4 b from nation), i as (select unnest(range(0, 17)) x) select x::integer shard_index, count(*) zones from z, i where x between a and b group by x having count(*) > 1 or x > 15")
 def zone_overlap_check(s, d):
-    return resolve.zone_overlaps(s.createDataFrame([("zone-a", 0, 7), ("zone-b", 7, 10)], "zone string, start int, end int"), BITS)
+    at = F.col("n_nationkey").cast("int")
+    zones = v.table(s, d, "nation").select(F.concat(F.lit("zone-"), at).alias("zone"), (at % 13).alias("start"), (at % 13 + at % 4).alias("end"))
+    return resolve.zone_overlaps(zones, BITS)
 
 
 @query(f"{_F} select uid, created_at, size_bytes from files where created_at < timestamp '{CUT}' and archived is false order by created_at, uid limit 500")
@@ -112,34 +118,36 @@ def worker_split(s, d):
     return archive.worker(_files(s, d), 1, 4).select("uid")
 
 
-@query(f"{_CRC} select count(*) total, count(distinct h % 4) workers from c")
+@query(f"{_CRC} select count(*) total, count(distinct h % 4) workers, 1::bigint most_workers_of_a_file from c")
 def worker_split_complete(s, d):
+    """Every file has one worker."""
     f = _files(s, d)
-    parts = [archive.worker(f, i, 4).select(F.lit(i).alias("w")) for i in range(4)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.agg(F.count("*").alias("total"), F.countDistinct("w").alias("workers"))
+    out = None
+    for i in range(4):
+        part = archive.worker(f, i, 4).select("ord", F.lit(i).alias("w"))
+        out = part if out is None else out.union(part)
+    files = out.groupBy("ord").agg(F.count("*").alias("n"), F.min("w").alias("w"))
+    return files.agg(F.count("*").alias("total"), F.countDistinct("w").alias("workers"), F.max("n").alias("most_workers_of_a_file"))
 
 
-@query(f"select timestamp '{UNTIL}' window_start, timestamp '2024-01-24' window_end, 7 lag_days")
+@query(f"{_S} select archived_until window_start, greatest(archived_until, cut) window_end, lag_days from target")
 def window_compute(s, d):
-    return archive.compute_window(_state(s), ntz(NOW))
+    return archive.compute_window(_state(s, d), F.col("now")).drop("id")
 
 
-@query(f"select 1 id, timestamp '{UNTIL}' archived_until, 7 lag_days")
+@query(f"{_S} select id, archived_until + interval 60 day archived_until, lag_days from target")
 def watermark_advance_noop(s, d):
-    return archive.advance(_state(s), archive.compute_window(_state(s), ntz("2024-01-12 00:00:00")))
+    return archive.advance(_state(s, d, 60), archive.compute_window(_state(s, d, 60), F.col("now")))
 
 
-@query("select 1 id, timestamp '2024-01-24' archived_until, 7 lag_days")
+@query(f"{_S} select id, greatest(archived_until, cut) archived_until, lag_days from target")
 def watermark_advance_forward(s, d):
-    return archive.advance(_state(s), archive.compute_window(_state(s), ntz(NOW)))
+    return archive.advance(_state(s, d), archive.compute_window(_state(s, d), F.col("now")))
 
 
-@query(f"select date_diff('second', timestamp '{UNTIL}', timestamp '2024-01-24') lag_seconds, date_diff('second', timestamp '{UNTIL}', timestamp '2024-01-24') / 86400.0 lag_days_value")
+@query(f"{_S} select date_diff('second', archived_until, cut) lag_seconds, date_diff('second', archived_until, cut) / 86400.0 lag_days_value from target")
 def watermark_lag(s, d):
-    return archive.lag(_state(s), ntz(NOW))
+    return archive.lag(_state(s, d), F.col("now"))
 
 
 @query(f"{_F} select coalesce(max(case when archived then created_at end), timestamp '{NOW}' - interval 30 day) archived_until from files")
@@ -403,29 +411,17 @@ def permission_check(s, d):
     return log.select("event_id", access.allowed(F.col("uid"), F.col("action"), actions, allow, deny).alias("allowed"))
 
 
-@query()
-def rate_limit(s, d):
-    return access.rate_limit(_log(s, d), 2, 86400)
-
-
-@query()
-def nonce_replay(s, d):
-    return access.replays(_log(s, d))
-
-
 @query(f"{_F} select ord event_id, case when ord % 31 = 0 then 401 when ord % 37 = 0 then 403 else 200 end http_code from files")
 def access_status(s, d):
     status = F.when(F.col("event_id") % 31 == 0, "expired").when(F.col("event_id") % 37 == 0, "forbidden").otherwise("success")
     return _log(s, d).select("event_id", access.http_code(status).alias("http_code"))
 
 
-_M = f"{_F}, m0 as (select event_type as name, created_at ts, ord event_id, value, row_number() over (partition by event_type order by created_at, ord) rn from files), m as (select *, (rn - 1) % 1000 + 1 as counter from m0)"
+_M = f"{_F}, m as (select event_type as name, created_at ts, ord event_id, value, ord % 1000 + 1 as counter from files)"
 
 
 def _metrics(s, d):
-    w = Window.partitionBy("name").orderBy("ts", "event_id")
-    m = _files(s, d).select(F.col("event_type").alias("name"), F.col("created_at").alias("ts"), F.col("ord").alias("event_id"), "value")
-    return m.withColumn("counter", (F.row_number().over(w) - 1) % 1000 + 1)
+    return _files(s, d).select(F.col("event_type").alias("name"), F.col("created_at").alias("ts"), F.col("ord").alias("event_id"), "value", (F.col("ord") % 1000 + 1).alias("counter"))
 
 
 @query(f"{_M}, x as (select *, lag(counter) over (partition by name order by ts, event_id) b from m) select name, sum(case when b is null then 0 when counter < b then counter else counter - b end)::bigint as increase, round(sum(case when b is null then 0 when counter < b then counter else counter - b end)::double / (floor(epoch(max(ts)))::bigint - floor(epoch(min(ts)))::bigint), 6) rate from x group by name")
@@ -468,8 +464,8 @@ def held_above(s, d):
 
 
 def queries():
-    return dict(_Q)
+    return _Q | more.queries()
 
 
 def oracle_sql():
-    return dict(_SQL)
+    return _SQL | more.oracle_sql()
