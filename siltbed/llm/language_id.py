@@ -5,8 +5,12 @@ response of each filter is pooled, and a softmax layer tells the languages. The
 net is trained in numpy on a bounded sample of labelled rows; prediction covers
 every window of every whole text, in batches, and averages over a text's windows.
 
+The sample is drawn for each label by a hash of id and text, so it is the same however
+the rows are dealt, and a rare label is learned as well as a common one.
+
 Defined cases: null texts and texts without a letter: `und` with score 0. Null
-labels are not learned from. With no labelled rows at all every text is `und`.
+labels are not learned from. With no labelled rows at all every text is `und`. Rows
+that repeat id and text count once in the sample; results are one row for each row.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,17 +110,78 @@ class ByteNet:
         return out
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", most: int = 2000, per_text: int = 3, epochs: int = 8) -> ByteNet | None:
-    """A net from about `most` of the labelled rows, picked by a hash of their id, and at most `per_text` windows of each."""
-    rows = labelled.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull())
-    n = rows.count()
-    if not n:
+def sample(labelled: DataFrame, text_col: str, label_col: str, id_col: str, most: int, least: int, per_text: int) -> DataFrame:
+    """(label, place, parts): of each label the rows of least hash, most / labels of them but at least `least`, as far as it has them, cut to `per_text` windows each."""
+    text, label = F.col(f"`{text_col}`").cast("string"), F.col(f"`{label_col}`").cast("string")
+    place = F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(5)).bitwiseAND(F.lit((1 << 40) - 1))
+    rows = labelled.select(label.alias("label"), place.alias("place"), text.alias("text")).where("text is not null and label is not null")
+    sizes = b.written(rows.groupBy("label").agg(F.count("*").alias("n")), "labels")
+    want = max(least, most // max(1, sizes.count()))
+    # twice the number and a margin by hash bring enough rows, whose least ones are then taken
+    near = rows.join(sizes, "label").where(F.col("place").cast("double") * F.col("n") < float((2 * want + 40) << 40)).select("label", "place", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in b.pieces(batches, "text"):
+            parts = []
+            for t in texts:
+                w = windows(t) if LETTER.search(t.decode()) else windows(b"")
+                parts.append([w[i].tobytes() for i in sorted(set(np.linspace(0, len(w) - 1, per_text).astype(int).tolist()))] if len(w) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.binary()))], ["label", "place", "parts"])
+
+    first = Window.partitionBy("label").orderBy("place")
+    short = near.mapInArrow(cut, "label string, place long, parts array<binary>").where(F.size("parts") > 0).dropDuplicates(["label", "place"])
+    return short.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= want).drop("rank")
+
+
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", most: int = 2000, least: int = 20, per_text: int = 3, epochs: int = 8) -> ByteNet | None:
+    """A net from a bounded sample (see sample) of the labelled rows; the driver gets windows, not texts."""
+    rows = sorted((r["label"], r["place"], r["parts"]) for r in sample(labelled, text_col, label_col, id_col, most, least, per_text).collect())
+    if not rows:
         return None
-    part = min(1.0, most / n)
-    picked = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(5)), F.lit(1_000_000)) < int(part * 1_000_000) + 1
-    sample = rows.where(picked).select(text_col, label_col).limit(most).toPandas()
+    labels = sorted({label for label, _, _ in rows})
+    number = {x: i for i, x in enumerate(labels)}
+    x = np.frombuffer(b"".join(w for _, _, parts in rows for w in parts), np.uint8).reshape(-1, WINDOW)
+    net = ByteNet(labels)
+    net.train(x, np.array([number[label] for label, _, parts in rows for _ in parts]), epochs)
+    return net
+
+
+def predict(self, x: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """Probabilities of the labels for each window."""
+        a2, a3, c3, a4, c4 = tables
+        out = np.empty((len(x), len(self.labels)), np.float32)
+        for at in range(0, len(x), 48):  # what fits a cache
+            xs = x[at : at + 48]
+            pair = (xs[:, :-1].astype(np.uint16) << 8) | xs[:, 1:]
+            r3 = a3[pair[:, :-1]]
+            r3 += c3[xs[:, 2:]]
+            r4 = a4[pair[:, :-2]]
+            r4 += c4[pair[:, 2:]]
+            act = np.maximum(np.concatenate([a2[pair].max(1), r3.max(1), r4.max(1)], 1) + self.p["b"], 0)
+            out[at : at + 48] = self._softmax(act @ self.p["w"] + self.p["c"])
+        return out
+
+
+def sample_rows(labelled: DataFrame, text_col: str, label_col: str, id_col: str, most: int, least: int) -> DataFrame:
+    """(text, label): of each label the rows of least hash, most / labels of them but at least `least`, as far as it has them."""
+    text, label = F.col(f"`{text_col}`").cast("string"), F.col(f"`{label_col}`").cast("string")
+    rows = labelled.select(text.alias("text"), label.alias("label"), F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(5)).alias("place")).where("text is not null and label is not null")
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    share = F.greatest(F.lit(least), F.floor(F.lit(most) / F.count("*").over(Window.partitionBy(F.lit(0)))))  # one row a label
+    sizes = sizes.select("label", "n", share.alias("want"))
+    # twice the share and a margin by hash bring enough rows, whose least ones are then taken
+    part = (2 * F.col("want") + 40) / F.col("n")
+    near = rows.join(F.broadcast(sizes), "label").where(F.pmod("place", F.lit(1 << 40)) < part * (1 << 40)).dropDuplicates(["label", "place"])
+    first = Window.partitionBy("label").orderBy(F.pmod("place", F.lit(1 << 40)), "place")
+    return near.withColumn("rank", F.row_number().over(first)).where("rank <= want").select("text", "label")
+
+
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", most: int = 2000, least: int = 20, per_text: int = 3, epochs: int = 8) -> ByteNet | None:
+    """A net from a bounded sample (sample_rows) of the labelled rows, and at most `per_text` windows of each."""
+    sample = sample_rows(labelled, text_col, label_col, id_col, most, least).toPandas()
     if not len(sample):
         return None
+    text_col, label_col = "text", "label"
     labels = sorted(sample[label_col].unique())
     number = {x: i for i, x in enumerate(labels)}
     xs, ys = [], []
