@@ -63,7 +63,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     """The path and its file system, as Hadoop has them."""
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(path)
@@ -80,7 +80,7 @@ def run_folder(spark: SparkSession) -> str:
         base = f"file://{tempfile.gettempdir()}/siltbed"  # one machine alone, as in tests
     folder = f"{base.rstrip('/')}/{context.applicationId}"
     if getattr(context, "_siltbed_folder", None) != folder:
-        path, system = _hadoop(spark, folder)
+        path, system = hadoop(spark, folder)
         system.mkdirs(path)
         system.deleteOnExit(path)
         context._siltbed_folder = folder
@@ -114,10 +114,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def drop_tables(*tables: DataFrame) -> None:
     """Deletes tables made by written(), once nothing is to be computed from them any more."""
     for table in tables:
-        path, system = _hadoop(table.sparkSession, table._siltbed_path)
+        path, system = hadoop(table.sparkSession, table._siltbed_path)
         system.delete(path, True)
 
 
+#: Rows of a key beyond which it is hot.
+HOT = 2000
+
+
+def join_sized(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of their group, where groups (unique keys) tell their number of rows as `size`. The few hot
+    groups are joined apart, so that no key of a shuffled join has more than HOT rows as long as their list is small."""
+    hot = written(groups.where(F.col("size") > HOT), "hot")
+    usual = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("size") <= HOT), keys)
+    return usual.unionByName(rows.join(hot, keys))
+
+
 def row_key(id_col: str, text_col: str) -> list:
     """_id (null as the least long) and _fp (fingerprint of the text)."""
     return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_fp")]

@@ -78,8 +78,10 @@ def removed_lines(keyed: DataFrame, min_words: int) -> DataFrame:
     hashes = lines.select(*_PLACE, whole.alias("h1"), "n", halves.alias("halves"), F.xxhash64("n", *middle).alias("middle"))
     second = F.xxhash64(F.element_at("halves", 1), F.element_at("halves", 2), "middle")  # with h1, 128 bits of the line
     hashed = b.written(hashes.select(*_PLACE, "h1", second.alias("h2"), judged.alias("halves")), "line-hashes")
-    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"))
-    equal = hashed.select(*_PLACE, "h1", "h2").join(first, ["h1", "h2"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
+    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n"))
+    # few lines have very many copies, which are told apart from the others
+    repeated = first.where("n > 1").withColumnRenamed("n", "size")
+    equal = b.join_sized(hashed.select(*_PLACE, "h1", "h2"), repeated, ["h1", "h2"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
 
     by_half = hashed.select("h1", F.posexplode("halves").alias("side", "half"))
     shared = by_half.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("half")
