@@ -1,33 +1,41 @@
 """3. Benchmark decontamination with a generalised suffix automaton of normalised test items.
 
-The automaton over the words of all items is built once and broadcast; documents
-stream through it without a shuffle. After each word the state tells the longest
-match that ends there. A match of n words, or of a whole shorter item, hits its
-words. Spans of hits are removed; a document whose share of hit words exceeds
+Documents stream through it without a shuffle. After each word the state tells the
+longest match that ends there. A match of n words, or of a whole shorter item, hits
+its words. Spans of hits are removed; a document whose share of hit words exceeds
 `max_coverage` goes as a whole.
 
-The broadcast is bounded: items are dealt into automata of at most GROUP_WORDS
-words, and documents run through one automaton at a time, so a larger benchmark
-costs more passes over the words of a partition, not more memory.
+Memory is bounded for a benchmark of any size. Executors cut long items into parts
+that overlap by n - 1 words, deal parts into groups of about GROUP_WORDS words and
+build an automaton of each; the driver only hands their files' names on. Spark
+brings the files to each executor's disk, and a Python worker holds HELD automata at
+a time, so a larger benchmark costs more passes over a batch's words.
 
 Defined cases: null or empty texts and items have no words; items that repeat
-count each by its id; a null item_id is written as an empty string.
+count each by its id; a null item_id is written as an empty string; an empty
+benchmark hits nothing. Documents that repeat are each judged alike. Carried columns
+with the name of a result are replaced by it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from hashlib import sha256
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+import zstandard
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed.llm import base as b
 
-#: Words of one automaton (about 400 bytes each at two states a word).
-GROUP_WORDS = 200_000
+#: Words of one automaton (about 400 bytes each at two states a word), words of a part of an item, automata in a worker.
+GROUP_WORDS, PART_WORDS, HELD = 150_000, 5_000, 2
+TEXT = "_siltbed_text"
+RESULT = ["n_words", "n_hit", "items", "clean"]
 
 
 class Automaton:
@@ -136,37 +144,83 @@ class Automaton:
         return b.merged(spans), items
 
 
-def automata(bench: DataFrame, item_col: str, text_col: str, n: int) -> list[Automaton]:
-    out, group, held = [], [], 0
-    for item, text in bench.select(F.col(f"`{item_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).toLocalIterator():
-        words = b.ALNUM.findall(text.encode().lower()) if text else []
-        group.append((item or "", words))
-        held += len(words)
-        if held >= GROUP_WORDS:
-            out.append(Automaton(group, n))
-            group, held = [], 0
-    return [*out, Automaton(group, n)]
+def automata(bench: DataFrame, item_col: str, text_col: str, n: int) -> list[str]:
+    """Names of files that Spark brings to every executor, with an automaton each."""
+    spark = bench.sparkSession
+    rows = bench.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in b.pieces(batches, "text"):
+            out = []
+            for item, raw in zip(batch.column(0).to_pylist(), texts, strict=True):
+                words = b.ALNUM.findall(raw.lower())
+                step = max(1, PART_WORDS - n + 1)
+                for at in range(0, max(len(words) - n + 1, 1) if words else 0, step):
+                    part = words[at : at + step + n - 1]
+                    out.append((item, b" ".join(part).decode(), len(part)))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], ["item", "words", "n"])
+
+    parts = b.written(rows.mapInArrow(cut, "item string, words string, n long"), "items")
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return []
+    group = F.pmod(F.xxhash64("item", "words"), F.lit(-(-total // GROUP_WORDS)))
+
+    def build(table: pa.Table) -> pa.Table:
+        items = sorted(zip(table.column("item").to_pylist(), table.column("words").to_pylist(), strict=True))
+        whole = Automaton([(item, words.encode().split(b" ")) for item, words in items], n)
+        return pa.table({"blob": pa.array([zstandard.ZstdCompressor(level=1).compress(pickle.dumps(whole))], pa.binary())})
+
+    path = b.shared_dir(spark, "automata")
+    parts.select(group.alias("group"), "item", "words").groupBy("group").applyInArrow(build, "blob binary").write.option("maxRecordsPerFile", 1).parquet(path)
+    folder, system = b.hadoop(spark, path)
+    found = [s.getPath() for s in system.listStatus(folder) if s.getPath().getName().endswith(".parquet")]
+    names = []
+    for i, old in enumerate(sorted(found, key=lambda p: p.getName())):
+        new, _ = b.hadoop(spark, f"{path}/{path.rpartition('/')[2]}-{i}.automaton")  # a name of its own: Spark keeps one file a name
+        system.rename(old, new)
+        spark.sparkContext.addFile(new.toString())
+        names.append(new.getName())
+    return names
+
+
+_held: dict[str, Automaton | None] = {}
+
+
+def held(name: str) -> Automaton | None:
+    """The automaton of a file, from the worker's memory of the last few; None if the file has none, as Spark may write one without rows."""
+    if name not in _held:
+        while len(_held) >= HELD:
+            del _held[next(iter(_held))]
+        blobs = pq.read_table(SparkFiles.get(name)).column("blob").to_pylist()
+        _held[name] = pickle.loads(zstandard.ZstdDecompressor().decompress(blobs[0])) if blobs else None
+    return _held[name]
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, max_coverage: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """id (or the columns of `carry`), n_words, n_hit, items (sorted ids as strings), clean (text without the hit spans; null if the document goes)."""
-    spark = docs.sparkSession
-    shipped = [spark.sparkContext.broadcast(a) for a in automata(bench, item_col, item_text_col, n)]
+    files = automata(bench, item_col, item_text_col, n)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in b.pieces(batches, "_text"):
-            ids, rows = batch.columns[:-1], []
-            for raw, null in zip(texts, batch.columns[-1].is_null().to_pylist(), strict=True):
-                words = b.ALNUM.findall(raw.lower())
-                spans, items = [], set()
-                for a in shipped:
-                    more, of = a.value.scan(words)
-                    spans += more
-                    items |= of
-                spans = b.merged(spans) if len(shipped) > 1 else spans
+        for batch, texts in b.pieces(batches, TEXT):
+            found = [([], set()) for _ in texts]
+            sizes = [0] * len(texts)
+            for name in files or [""]:
+                automaton = held(name) if name else None
+                for i, raw in enumerate(texts):
+                    words = b.ALNUM.findall(raw.lower())
+                    sizes[i] = len(words)
+                    if automaton:
+                        spans, items = automaton.scan(words)
+                        found[i][0].extend(spans)
+                        found[i][1].update(items)
+            rows = []
+            for raw, null, size, (spans, items) in zip(texts, batch.columns[-1].is_null().to_pylist(), sizes, found, strict=True):
+                spans = b.merged(spans) if len(files) > 1 else spans
                 hit = sum(y - x for x, y in spans)
                 clean = None if null else raw.decode()
-                if hit > max_coverage * len(words):
+                if hit > max_coverage * size:
                     clean = None
                 elif spans:
                     places = [m.span() for m in b.ALNUM.finditer(raw.lower())]
@@ -175,15 +229,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                         parts.append(raw[last : places[x][0]])
                         last = places[y - 1][1]
                     clean = b"".join([*parts, raw[last:]]).decode()
-                rows.append((len(words), hit, sorted(items), clean))
-            n_words, n_hit, found, clean = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [*ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(clean, pa.string())],
-                [*names, "n_words", "n_hit", "items", "clean"],
-            )
-
-    own = [F.col(f"`{c}`") for c in carry] if carry else [F.col(f"`{id_col}`").cast("long").alias(id_col)]
-    out = docs.select(*own, F.col(f"`{text_col}`").cast("string").alias("_text"))
+                rows.append((size, hit, sorted(items), clean))
+            n_words, n_hit, items, clean = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(clean, pa.string())], [*names, *RESULT])
+
+    own = [F.col(f"`{c}`") for c in carry if c not in RESULT] if carry else [F.col(f"`{id_col}`").cast("long").alias(id_col)]
+    out = docs.select(*own, F.col(f"`{text_col}`").cast("string").alias(TEXT))
     names = out.columns[:-1]
     more = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, clean string")
     return out.mapInArrow(scan, T.StructType([*out.schema.fields[:-1], *more.fields]))
