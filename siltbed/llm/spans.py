@@ -7,9 +7,10 @@ one block, and a unit travels about (k - m) / ((k - m) / 2) + 1 times instead of
 
 Skew. A map task first folds equal packed strings, so a group of copies arrives
 once for each map batch. Minimisers that stay frequent after that (a passage in
-many different surroundings) are listed - at most HOT_MOST of them, which bounds
-the broadcast - and their windows travel one by one to the block of their own hash,
-which spreads them evenly.
+many different surroundings, or in very many batches) are marked in a bitmap of fixed
+size, and their windows do not go to blocks: they are counted by 128-bit hashes with
+Spark's aggregation, which folds each task's part first, so no task gathers the
+copies of a hot window. A bit that two minimisers share only sends more windows that way.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ from pyspark.sql import functions as F
 
 from siltbed.llm import base as b
 
-#: Most minimisers in the broadcast list (8 bytes each), and packed bytes of a block.
-HOT_MOST, BLOCK_BYTES = 1_000_000, 7 << 20
+#: Bits of the map of hot minimisers, and packed bytes of a block.
+HOT_BITS, BLOCK_BYTES = 26, 7 << 20
+#: One batch in so many reports minimisers that are alone in it, with that weight.
+SAMPLED = 64
+#: Strings of a hot minimiser at least.
+LEAST_HOT = 8
 #: Texts worked on at once.
 PART_BYTES = 4 << 20
 
@@ -81,21 +86,24 @@ def _packed(flat: bytes, cut: Cut, starts, ends, spot, wins) -> list[bytes]:
     return [flat[x:y] for x, y in zip(starts[spot].tolist(), ends[spot + wins + cut.k - 2].tolist(), strict=True)]
 
 
-def hot_minimisers(keyed: DataFrame, cut: Cut) -> tuple[np.ndarray, int]:
-    """The frequent minimisers, ascending, and the number of blocks; from all documents.
+def hot_minimisers(keyed: DataFrame, cut: Cut) -> tuple[np.ndarray | None, int]:
+    """The bitmap of frequent minimisers (None if there are none), and the number of blocks; from all documents.
 
-    Each map batch reports minimisers that at least two different packed strings
-    share; one that is alone in its batches adds at most one string a batch to its block.
+    Each map batch reports minimisers that at least two different packed strings share, and a hash picks
+    batches for those that are alone. This tells only which way windows go, not what is found.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, texts in cut.parts(batches):
+        for ids, _, offset, texts in cut.parts(batches):
             flat, starts, ends, counts, hashes = cut.units(texts)
             doc, spot, wins, value = cut.super_kmers(counts, hashes)
             whole = b.mix(value + hashes[spot] * b.U(3) + hashes[spot + wins + cut.k - 2] * b.U(5) + wins.astype(np.uint64))
             _, keep = np.unique(whole, return_index=True)
             found, n = np.unique(value[keep], return_counts=True)
-            often = n > 1
+            batch = b.mix(np.array([int(ids[0]) * 31 + int(offset[0]) + len(flat)], np.int64).view(np.uint64))[0]
+            picked = b.mix(found ^ batch) % b.U(SAMPLED) == 0
+            often = (n > 1) | picked
+            n = np.where(n > 1, n, SAMPLED)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([found[often].view(np.int64), [0]])), pa.array(np.concatenate([n[often], [len(flat)]])), pa.array(np.concatenate([np.zeros(int(often.sum()), bool), [True]]))],
                 ["value", "n", "is_size"],
@@ -105,14 +113,23 @@ def hot_minimisers(keyed: DataFrame, cut: Cut) -> tuple[np.ndarray, int]:
     total = sums.where("is_size").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(64, -(-3 * total // BLOCK_BYTES))
     windows = total / (6 if cut.words else 1)
-    usual = max(8, 2 * windows / (cut.k - cut.m) / blocks / 2)  # half a block
-    counts = sums.where(~F.col("is_size") & (F.col("n") > usual))
-    most = counts.count()
-    while most > HOT_MOST:  # the bound of the broadcast; what stays out makes its block larger
-        usual *= 2
-        counts = counts.where(F.col("n") > usual)
-        most = counts.count()
-    return np.sort(np.array([r[0] for r in counts.select("value").collect()], np.int64).view(np.uint64)), int(blocks)
+    usual = max(LEAST_HOT, 2 * windows / (cut.k - cut.m) / blocks / 2)  # half a block
+    slot = F.col("value").bitwiseAND(F.lit((1 << HOT_BITS) - 1))
+    words = sums.where(~F.col("is_size") & (F.col("n") > usual)).select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2^(HOT_BITS - 6) rows
+    b.drop_tables(sums)
+    if not len(found):
+        return None, int(blocks)
+    bitmap = np.zeros(1 << HOT_BITS - 6, np.uint64)
+    bitmap[found.word] = found.bits.to_numpy(np.int64).view(np.uint64)
+    return bitmap, int(blocks)
+
+
+def _is_hot(value: np.ndarray, bitmap: np.ndarray | None) -> np.ndarray:
+    if bitmap is None:
+        return np.zeros(len(value), bool)
+    slot = value & b.U((1 << HOT_BITS) - 1)
+    return (bitmap[(slot >> b.U(6)).astype(np.int64)] >> (slot & b.U(63))) & b.U(1) == 1
 
 
 def _pack(ids, fps, at, wins, tag, strings: list[bytes]) -> bytes:
@@ -156,13 +173,8 @@ def covers(keyed: DataFrame, cut: Cut, solve: Callable) -> DataFrame:
             flat, starts, ends, counts, hashes = cut.units(texts)
             doc, spot, wins, value = cut.super_kmers(counts, hashes)
             first = np.concatenate([[0], np.cumsum(counts)])
-            is_hot = np.isin(value, hot) if len(hot) else np.zeros(len(value), bool)
-            if is_hot.any():  # each window by itself
-                n = wins[is_hot]
-                one = np.repeat(spot[is_hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                own = b.grams(hashes, cut.k)[one]
-                doc, spot, value = (np.concatenate([x[~is_hot], y]) for x, y in ((doc, np.repeat(doc[is_hot], n)), (spot, one), (value, own)))
-                wins = np.concatenate([wins[~is_hot], np.ones(len(one), np.int64)])
+            usual = ~_is_hot(value, hot)
+            doc, spot, wins, value = doc[usual], spot[usual], wins[usual], value[usual]
             strings = _packed(flat, cut, starts, ends, spot, wins)
             at = spot - first[doc] + offset[doc]
             order = np.lexsort((at, fps[doc], ids[doc])) if cut.earliest else np.arange(len(doc))
@@ -220,7 +232,49 @@ def covers(keyed: DataFrame, cut: Cut, solve: Callable) -> DataFrame:
             rows, lo, hi = rows[heads], lo[heads], (top - group * span)[last]
         return pa.table({"_id": ids[rows], "_fp": fps[rows], "_from": lo.astype(np.int64), "_to": hi.astype(np.int64)})
 
-    return keyed.mapInArrow(send, "block long, blob binary").groupBy("block").applyInArrow(meet, _COVER)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
+    met = keyed.mapInArrow(send, "block long, blob binary").repartition(parts, "block").groupBy("block").applyInArrow(meet, _COVER)
+    return met if hot is None else met.unionByName(_hot_covers(keyed, cut, shipped))
+
+
+def _hot_covers(keyed: DataFrame, cut: Cut, shipped) -> DataFrame:
+    """The covers of windows with a hot minimiser, told from 128-bit hashes of all of them."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, fps, offset, texts in cut.parts(batches):
+            _, _, _, counts, hashes = cut.units(texts)
+            doc, spot, wins, value = cut.super_kmers(counts, hashes)
+            hot = _is_hot(value, shipped.value)
+            n = wins[hot]
+            if not len(n):
+                continue
+            first = np.concatenate([[0], np.cumsum(counts)])
+            one = np.repeat(spot[hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            doc = np.repeat(doc[hot], n)
+            at = one - first[doc] + offset[doc]
+            h1, h2 = b.grams(hashes, cut.k)[one], b.grams(b.mix(hashes ^ b.U(0xA5A5A5A5A5A5A5A5)), cut.k)[one]
+            order = np.lexsort((at, fps[doc], ids[doc], h2, h1))
+            h1, h2, i, f, at = h1[order], h2[order], ids[doc][order], fps[doc][order], at[order]
+            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            many = np.diff(np.concatenate([np.flatnonzero(new), [len(at)]]))[np.cumsum(new) - 1] > 1
+            here = (i == i[lead]) & (f == f[lead]) & (at == at[lead])
+            known = ~here if cut.earliest else many  # what the batch alone tells to be repeated
+            sent = new | known
+            sent_known = known[sent] & ~new[sent] if cut.earliest else known[sent]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x[sent].view(np.int64)) for x in (h1, h2)), pa.array(i[sent]), pa.array(f[sent]), pa.array(at[sent]), pa.array(sent_known), pa.array(new[sent]), pa.array(many[sent])],
+                ["h1", "h2", "_id", "_fp", "_from", "known", "head", "many"],
+            )
+
+    rows = b.written(keyed.mapInArrow(windows, "h1 long, h2 long, _id long, _fp long, _from long, known boolean, head boolean, many boolean"), "hot-windows")
+    heads = rows.where("head")
+    place = F.struct("_id", "_fp", "_from")
+    groups = heads.groupBy("h1", "h2").agg(F.count("*").alias("size"), F.min(place).alias("first")).where("size > 1")
+    again = b.join_sized(heads.where("not known").select("h1", "h2", "_id", "_fp", "_from"), groups, ["h1", "h2"])
+    again = again.where(place != F.col("first")) if cut.earliest else again
+    found = rows.where("known").select("_id", "_fp", "_from").unionByName(again.select("_id", "_fp", "_from"))
+    return found.withColumn("_to", F.col("_from") + cut.k)
 
 
 def with_covers(docs: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
