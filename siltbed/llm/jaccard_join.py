@@ -12,23 +12,25 @@ A class also has a row of cells: how many of its shingles fall into each of some
 cells of the hash space. The sum of the lesser counts bounds the overlap of two classes
 from above, and the greater counts of several rows are the row of their union.
 
-1. In each bucket the rows are laid out in groups of GROUP, each with the row of its
-   union: a token-group matrix. A member is held against a group's members only if the
-   bound on its overlap with the union allows a link. Members that no other one in the
-   bucket can link with leave the bucket; no text has moved by then.
-2. Buckets with the same members fold into one; each proposes every member to its
-   leader only (a star, linear in the bucket), and Spark verifies these pairs.
-   Buckets whose members are all connected by then are done. In the others, members
-   are laid out in groups again, now with the unions of the shingles themselves, and
-   compared only with qualifying groups that have another component. Open buckets that
-   share members are worked on as one family.
-   Large buckets are dealt out in chunks of CHUNK members; each pair of chunks is one
-   task's work, so no task holds a bucket.
-3. Links make components; a document's class carries its component back to it.
-
-Shingles are 64-bit hashes. Defined cases: no words or null text: an empty set
+1. Buckets with the same members fold into one, and fall into classes of size that can link. Each proposes its
+   members to LEADERS of them only (stars, linear in the bucket); pairs that pass the bound on cells are verified.
+2. Buckets whose members are all connected by then are done. In the others members are dealt into chunks of about
+   CHUNK shingles, those of a large component into chunks of their own. Each chunk has the row of its union, and two
+   chunks meet only if they hold different components and the bound on their unions allows a link. So a cluster of
+   near copies that its leaders hold together costs no pairs of chunks, however large.
+3. Where chunks meet, members are laid out in groups of GROUP similar ones, each with the row of its union: a
+   token-group matrix. A member is held against a group's members only if the bound on its overlap with the union
+   allows a link, and only against other components. Members without a possible partner leave; no text has moved.
+4. For the rest the same is done with the unions of the shingles themselves, which counts overlaps exactly.
+5. Links make components; a document's class carries its component back to it.
+
+No task holds more than two chunks, and there is one way for buckets of every size.
+
+Shingles are 52-bit hashes and classes 64-bit hashes of sets: among 10^10 different sets some three pairs would be
+taken for equal. Defined cases: no words or null text: an empty set
 linked with nothing, component its own id; fewer words than k: the whole sequence
-is the one shingle. Repeated ids take the least component among their rows' texts.
+is the one shingle. Repeated ids take the least component among their rows' texts. Rows that repeat are of one class.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ from pyspark.sql import functions as F
 from siltbed.llm import base as b
 from siltbed.llm.components import components
 
-#: Entries of each frequency table; sets of a group; members of a chunk.
-SLOTS, GROUP, CHUNK = 1 << 21, 16, 2048
+#: Entries of each frequency table; sets of a group; shingles of a chunk; leaders of a bucket.
+SLOTS, GROUP, CHUNK, LEADERS = 1 << 21, 16, 1 << 20, 3
 #: Texts worked on at once.
 ROWS = 4096
 
@@ -163,11 +165,18 @@ def _may_link(x: bytes | None, y: bytes | None, m: int, n: int, t: int) -> bool:
     return (100 + t) * int(np.minimum(both[0], both[1]).sum()) >= t * (m + n)
 
 
-def qualifying(rows: list[bytes | None], n: np.ndarray, kind: np.ndarray, role: np.ndarray, t: int) -> np.ndarray:
-    """Which members may link with another one of the bucket, by the bounds on unions and then on single rows."""
+def _similar(cells: np.ndarray) -> np.ndarray:
+    """A number for each row that is close for similar rows."""
+    return cells @ np.sin(np.arange(1, cells.shape[1] + 1) * 12.9898)
+
+
+def qualifying(rows: list[bytes | None], n: np.ndarray, comp: np.ndarray, role: np.ndarray, t: int) -> np.ndarray:
+    """Which members may link with one of another component, by the bounds on unions of groups and then on single rows.
+
+    Queries are the members of role 0 and 2, groups are made of those of role 1 and 2."""
     cells, marked = _matrix(rows), np.zeros(len(rows), bool)
     own = np.flatnonzero(role != 0)
-    own = own[np.lexsort((kind[own], n[own]))]
+    own = own[np.lexsort((_similar(cells[own]), comp[own]))]
     if not len(own):
         return marked
     starts = np.arange(0, len(own), GROUP)
@@ -179,7 +188,7 @@ def qualifying(rows: list[bytes | None], n: np.ndarray, kind: np.ndarray, role:
         bound = np.minimum(unions, cells[q]).sum(axis=1)
         spots = (starts[(100 + t) * bound >= t * (n[q] + least)][:, None] + np.arange(GROUP)).ravel()
         near = own[spots[spots < len(own)]]
-        near = near[kind[near] != kind[q]]
+        near = near[comp[near] != comp[q]]
         if len(near):
             near = near[(100 + t) * np.minimum(cells[near], cells[q]).sum(axis=1) >= t * (n[q] + n[near])]
             marked[near] = True
@@ -187,12 +196,35 @@ def qualifying(rows: list[bytes | None], n: np.ndarray, kind: np.ndarray, role:
     return marked
 
 
+def union_row(rows: list[bytes | None]) -> bytes | None:
+    """The cells of the rows' union at most, as 16-bit numbers; null if a row is missing."""
+    return None if any(r is None for r in rows) else np.minimum(_matrix(rows).max(axis=0), 65535).astype(np.uint16).tobytes()
+
+
+def meeting_chunks(rows: list[bytes | None], least: np.ndarray, pure: list[int | None], t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which chunks meet (i <= j): not two of one component, and a link must fit into the overlap of their unions."""
+    width = min((len(r) // 2 for r in rows if r), default=1)
+    cells = np.full((len(rows), width), 1 << 24, np.int64)
+    for i, r in enumerate(rows):
+        if r:
+            cells[i] = np.frombuffer(r, np.uint16).astype(np.int64).reshape(-1, width).sum(axis=0)
+    whole = np.array([x is not None for x in pure])
+    name = np.array([x or 0 for x in pure], np.int64)
+    first, second = [], []
+    for i in range(len(rows)):
+        bound = np.minimum(cells[i:], cells[i]).sum(axis=1)
+        may = ((100 + t) * bound >= t * (least[i:] + least[i])) & ~(whole[i] & whole[i:] & (name[i:] == name[i]))
+        spots = np.flatnonzero(may) + i
+        first.append(np.full(len(spots), i)), second.append(spots)
+    return np.concatenate(first), np.concatenate(second)
+
+
 def matrix_links(sets_a, ids_a, comp_a, sets_b, ids_b, comp_b, t: int) -> list[tuple[int, int]]:
     """Links between queries a and members b of other components, found through a token-group matrix of b."""
     if not len(sets_b):
         return []
     size = np.array([len(s) for s in sets_b])
-    order = np.lexsort((size, comp_b))
+    order = np.lexsort((np.array([s[0] for s in sets_b]), comp_b))  # similar sets often share their least hash
     sets_b, ids_b, comp_b, size = [sets_b[i] for i in order], ids_b[order], comp_b[order], size[order]
     tokens, back = np.unique(np.concatenate(sets_b), return_inverse=True)
     member = np.repeat(np.arange(len(sets_b)), size)
@@ -233,12 +265,6 @@ def matrix_links(sets_a, ids_a, comp_a, sets_b, ids_b, comp_b, t: int) -> list[t
     return found
 
 
-def _chunk_pairs(members: DataFrame, carry: str) -> DataFrame:
-    """Every chunk of a bucket meets itself (role 2) and the later ones (roles 0 and 1)."""
-    roles = members.select("token", "kind", carry, F.explode(F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) as lo, greatest(c, chunk) as hi))")).alias("r"), "chunk")
-    return roles.select("token", "r.lo", "r.hi", "kind", carry, F.when(F.col("lo") == F.col("hi"), 2).when(F.col("chunk") == F.col("lo"), 0).otherwise(1).alias("role"))
-
-
 def labelled_rows(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     """(_id, _fp, n) for every row of docs, and (_id, _fp, comp) for every row with words; a component is named by a class."""
     keyed = b.keyed(docs, id_col, text_col)
@@ -278,43 +304,35 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -
     # a bucket for each prefix shingle with two classes or more; buckets of the same members fold into one. Rows of a class
     # are in the same buckets, so sums over rows tell members apart however often rows repeat; halves do not overflow
     tokens = sketches.select("kind", F.explode("prefix").alias("token"))
-    members = [F.sum(F.shiftright("kind", 32)).alias("high"), F.sum(F.col("kind").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")]
-    buckets = tokens.groupBy("token").agg(F.min("kind").alias("leader"), F.max("kind").alias("last"), *members, F.count("*").alias("size")).where("leader <> last")
-    buckets = b.written(buckets.groupBy("leader", "last", "high", "low", "size").agg(F.min("token").alias("token")).select("token"), "buckets")
+    halves = lambda c: [F.sum(F.shiftright(c, 32)).alias("high"), F.sum(c.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")]
+    buckets = tokens.groupBy("token").agg(F.min("kind").alias("least"), F.max("kind").alias("most"), *halves(F.col("kind")), F.count("*").alias("size")).where("least <> most")
+    buckets = b.written(buckets.groupBy("least", "most", "high", "low", "size").agg(F.min("token").alias("token")).select("token", "size"), "buckets")
     # sizes of linked sets differ by t percent at most: a bucket falls into classes of that width, each with the next one
-    found = tokens.select("token", "kind").join(buckets, "token").distinct().join(light.groupBy("kind").agg(F.min("n").alias("n")), "kind")
+    found = b.join_sized(tokens, buckets, ["token"]).select("token", "kind").distinct().join(light.groupBy("kind").agg(F.min("n").alias("n")), "kind")
     width = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / t)) + 1e-9).cast("int")
-    sized = b.written(found.select("token", "kind", "n", F.explode(F.array(width, width - 1)).alias("width")), "sized")
-    by_size = sized.groupBy("token", "width").agg(F.min("kind").alias("leader"), F.max("kind").alias("last"), F.bit_xor(F.xxhash64("kind")).alias("members"), F.count("*").alias("size")).where("leader <> last")
-    by_size = by_size.groupBy("leader", "last", "members", "size").agg(F.min(F.struct("token", "width")).alias("bucket")).select("bucket.token", "bucket.width", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    met = b.written(sized.join(by_size, ["token", "width"]).select(F.xxhash64("token", "width").alias("token"), "kind", "n", "chunks", F.pmod(F.xxhash64("kind"), "chunks").cast("int").alias("chunk")), "met")
+    sized = b.written(found.select("kind", "n", F.explode(F.array(width, width - 1)).alias("width"), "token"), "sized")
+    leader = lambda i: F.min_by(F.struct("kind", "n"), F.xxhash64("kind", F.lit(i)))
+    by_size = sized.groupBy("token", "width").agg(F.min("kind").alias("least"), F.max("kind").alias("most"), *halves(F.xxhash64("kind")), F.count("*").alias("size"), F.array(*[leader(i) for i in range(LEADERS)]).alias("leaders")).where("least <> most")
+    by_size = by_size.groupBy("least", "most", "high", "low", "size").agg(F.min_by(F.struct("token", "width", "leaders"), F.struct("token", "width")).alias("b"))
+    by_size = b.written(by_size.select("b.token", "b.width", "b.leaders", "size"), "classes-of-size")
+    met = b.join_sized(sized, by_size, ["token", "width"]).select(F.xxhash64("token", "width").alias("token"), "kind", "n", "leaders", "size")
+    met = b.written(met, "met")
     cells = b.written(sketches.select("kind", "cells").join(met.select("kind").distinct(), "kind").dropDuplicates(["kind"]), "cells")
 
-    def qualify(table: pa.Table) -> pa.Table:
-        kind, n, role = (table.column(c).to_numpy() for c in ("kind", "n", "role"))
-        keep = qualifying(table.column("cells").to_pylist(), n.astype(np.int64), kind, role, t)
-        return table.select(["token", "kind", "n"]).filter(pa.array(keep))
-
-    qualified = _chunk_pairs(met, "n").join(cells, "kind").groupBy("token", "lo", "hi").applyInArrow(qualify, "token long, kind long, n int")
-    qualified = b.written(qualified.distinct(), "qualified")
-    heads = qualified.groupBy("token").agg(F.min("kind").alias("leader"), F.max("kind").alias("last"), F.bit_xor(F.xxhash64("kind")).alias("members"), F.count("*").alias("size"))
-    heads = heads.groupBy("leader", "last", "members", "size").agg(F.min("token").alias("token")).select("token", "leader")
-    members = qualified.join(heads, "token").select("token", "leader", "kind", "n")
-    sizes = members.select(F.col("kind").alias("leader"), F.col("n").alias("leader_n")).distinct()
-    members = b.written(members.join(sizes, "leader"), "members")
-
-    first = light.groupBy("kind").agg(F.min(F.struct("_id", "_fp")).alias("place"))
-    wanted = members.select("kind").distinct().join(first, "kind").select("kind", "place._id", "place._fp")
-
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [_pack(b" ".join(b.SPACED.findall((x or "").encode().lower()))) for x in batch.column(1).to_pylist()]
+        for batch, texts in b.pieces(batches, "_text"):
+            packed = [_pack(b" ".join(b.SPACED.findall(x.lower()))) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["kind", "packed"])
 
-    texts = b.written(keyed.join(wanted, ["_id", "_fp"]).select("kind", "_text").mapInArrow(shrink, "kind long, packed binary").dropDuplicates(["kind"]), "class-texts")
+    first = light.groupBy("kind").agg(F.min(F.struct("_id", "_fp")).alias("place"))
+
+    def class_texts(kinds: DataFrame) -> DataFrame:
+        wanted = b.written(first.join(kinds, "kind").select("kind", "place._id", "place._fp"), "wanted")
+        return b.written(keyed.join(wanted, ["_id", "_fp"]).select("kind", "_text").mapInArrow(shrink, "kind long, packed binary").dropDuplicates(["kind"]), "class-texts")
 
-    alike = 100 * F.least("n", "leader_n") >= t * F.greatest("n", "leader_n")
-    pairs = members.where((F.col("kind") != F.col("leader")) & alike).select(F.col("leader").alias("x"), F.col("kind").alias("y"), F.col("leader_n").alias("m"), "n").distinct()
+    # stars
+    lead = met.select("kind", "n", F.explode("leaders").alias("l")).select(F.col("l.kind").alias("x"), F.col("kind").alias("y"), F.col("l.n").alias("m"), "n").where("x <> y")
+    pairs = lead.where(100 * F.least("n", "m") >= t * F.greatest("n", "m")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("m")).otherwise(F.col("n")).alias("m"), F.when(F.col("x") < F.col("y"), F.col("n")).otherwise(F.col("m")).alias("n")).distinct()
     pairs = pairs.join(cells.withColumnsRenamed({"kind": "x", "cells": "cx"}), "x").join(cells.withColumnsRenamed({"kind": "y", "cells": "cy"}), "y").select("x", "y", "cx", "cy", "m", "n")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,25 +340,52 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -
             keep = [_may_link(*row, t) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = pairs.mapInArrow(bounded, "x long, y long")
+    pairs = b.written(pairs.mapInArrow(bounded, "x long, y long"), "pairs")
+    texts = class_texts(pairs.select(F.explode(F.array("x", "y")).alias("kind")).distinct())
     with_x = pairs.join(texts.select(F.col("kind").alias("x"), F.col("packed").alias("px")), "x")
     with_both = with_x.join(texts.select(F.col("kind").alias("y"), F.col("packed").alias("py")), "y").select("x", "y", "px", "py")
     stars = b.written(with_both.mapInArrow(_verify(k, t), "x long, y long, ok boolean").where("ok").select("x", "y"), "stars")
 
+    # chunks of the buckets that the stars have not settled
     comps = components(stars)
-    placed = members.join(comps.withColumnRenamed("node", "kind"), "kind", "left").select("token", "leader", "kind", F.coalesce("comp", "kind").alias("comp"))
-    # what the stars have not settled: buckets of several components with members besides the leader
-    open_ = placed.where("kind <> leader").groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.count("*").alias("size")).where("a <> z").select("token", "size")
-    rest = b.written(placed.where("kind <> leader").join(open_, "token").select("token", "kind", "comp", "size"), "open")
-    # open buckets that share members make a family, where each text is needed once; a family beyond CHUNK keeps its buckets
-    least_kind = rest.groupBy("token").agg(F.min("kind").alias("x"))
-    family = components(rest.join(least_kind, "token").select("x", F.col("kind").alias("y"))).select(F.col("node").alias("kind"), F.col("comp").alias("family"))
-    family = family.join(family.groupBy("family").agg(F.count("*").alias("held")), "family")
-    rest = rest.join(family, "kind")
-    whole = rest.where(F.col("held") <= CHUNK).select(F.col("family").alias("token"), "kind", "comp", F.lit(1).alias("chunks")).distinct()
-    parts = rest.where(F.col("held") > CHUNK).select("token", "kind", "comp", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    rest = whole.union(parts).withColumn("chunk", F.pmod(F.xxhash64("kind"), "chunks").cast("int"))
-    work = _chunk_pairs(rest, "comp")
+    placed = b.written(met.select("token", "kind", "n").join(comps.withColumnRenamed("node", "kind"), "kind", "left").select("token", "kind", "n", F.coalesce("comp", "kind").alias("comp")), "placed")
+    held = placed.groupBy("token", "comp").agg(F.sum("n").alias("own"), F.count("*").alias("rows"))
+    per = held.groupBy("token").agg(F.count("*").alias("comps"), F.sum("rows").alias("size"), F.sum(F.when(F.col("own") <= CHUNK // 2, F.col("own"))).alias("small")).where("comps > 1")
+    per = b.written(per.select("token", "size", F.ceil(F.coalesce("small", F.lit(1)) / CHUNK).cast("int").alias("parts")), "open")
+    large = b.written(held.where(F.col("own") > CHUNK // 2).select("token", "comp", F.ceil(F.col("own") / CHUNK).cast("int").alias("own_parts")), "large")
+    members = b.join_sized(placed, per, ["token"]).join(large, ["token", "comp"], "left")
+    part = F.when(F.col("own_parts").isNull(), F.pmod(F.xxhash64("comp"), "parts")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("kind"), "own_parts")))
+    pure = F.when(F.col("own_parts").isNotNull(), F.col("comp"))
+    members = b.written(members.select("token", "kind", "n", "comp", part.alias("chunk"), pure.alias("pure")), "members")
+    chunks = b.written(members.groupBy("token", "chunk").agg(F.first("pure").alias("pure"), F.min("n").alias("least")), "chunks")
+    alone = chunks.groupBy("token").agg(F.count("*").alias("n"), F.min("chunk").alias("lo")).where("n = 1").select("token", "lo", F.col("lo").alias("hi"))
+    several = b.written(chunks.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
+
+    def unite(table: pa.Table) -> pa.Table:
+        row = union_row(table.column("cells").to_pylist())
+        return pa.table({"token": table.column("token")[:1], "chunk": table.column("chunk")[:1], "row": pa.array([row], pa.binary())})
+
+    def meet(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk").to_numpy()
+        x, y = meeting_chunks(table.column("row").to_pylist(), table.column("least").to_numpy(), table.column("pure").to_pylist(), t)
+        return pa.table({"token": pa.array(np.full(len(x), table.column("token")[0].as_py()), pa.int64()), "lo": chunk[x], "hi": chunk[y]})
+
+    unions = members.join(several, "token").select("token", "chunk", "kind").join(cells, "kind").groupBy("token", "chunk").applyInArrow(unite, "token long, chunk long, row binary")
+    meetings = unions.join(chunks, ["token", "chunk"]).select("token", "chunk", "row", "least", "pure").groupBy("token").applyInArrow(meet, "token long, lo long, hi long")
+    meetings = b.written(alone.union(meetings), "meetings")
+    sides = meetings.select("token", "lo", "hi", F.explode(F.when(F.col("lo") == F.col("hi"), F.array(F.struct(F.col("lo").alias("chunk"), F.lit(2).alias("role")))).otherwise(F.array(F.struct(F.col("lo").alias("chunk"), F.lit(0).alias("role")), F.struct(F.col("hi").alias("chunk"), F.lit(1).alias("role"))))).alias("s"))
+    work = members.join(sides.select("token", "lo", "hi", "s.chunk", "s.role"), ["token", "chunk"]).select("token", "lo", "hi", "kind", "n", "comp", "role").join(cells, "kind")
+
+    def qualify(table: pa.Table) -> pa.Table:
+        n, comp, role = (table.column(c).to_numpy() for c in ("n", "comp", "role"))
+        keep = qualifying(table.column("cells").to_pylist(), n.astype(np.int64), comp, role, t)
+        return table.select(["token", "lo", "hi", "kind", "comp", "role"]).filter(pa.array(keep))
+
+    qualified = b.written(work.groupBy("token", "lo", "hi").applyInArrow(qualify, "token long, lo long, hi long, kind long, comp long, role int"), "qualified")
+    same = qualified.groupBy("token", "lo", "hi").agg(*halves(F.xxhash64("kind", "role")), F.count("*").alias("size"))
+    heads = b.written(same.groupBy("high", "low", "size").agg(F.min(F.struct("token", "lo", "hi")).alias("h")).select("h.*"), "heads")
+    work = qualified.join(heads, ["token", "lo", "hi"])
+    texts = texts.union(class_texts(qualified.select("kind").distinct().join(texts.select("kind"), "kind", "left_anti")))
     work = work.join(texts, "kind").select("token", "lo", "hi", "kind", "comp", "role", "packed")
 
     def open_groups(table: pa.Table) -> pa.Table:
