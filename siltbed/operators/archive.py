@@ -89,6 +89,11 @@ def validate(files: DataFrame, listing: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).withColumn("size_bytes", F.coalesce("size_bytes", "length"))
 
 
+def retry_backlog(errors: DataFrame, most: int = 3) -> DataFrame:
+    """Errors that have been tried fewer than `most` times."""
+    return errors.where(F.col("retry_count") < most)
+
+
 def cycle(validated: DataFrame) -> DataFrame:
     ok = F.col("status") == "ok"
     return validated.agg(F.count("*").alias("files_processed"), F.count_if(ok).alias("files_migrated"), F.count_if(~ok).alias("files_failed"), F.coalesce(F.sum(F.when(ok, F.col("size_bytes"))), F.lit(0)).cast("long").alias("total_size_bytes"))

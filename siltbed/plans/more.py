@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltbed.functions import register, scalars
 from siltbed.functions import routing as r
-from siltbed.functions import scalars
 from siltbed.operators import access, archive, audit, lifecycle, monitoring, planner, resolve
 from siltbed.plans import views as v
 from siltbed.plans.views import BIG, BITS, MOST, SQL_FILES, SQL_PAYLOADS, ntz
-from siltbed.sources import shards, sidecar
+from siltbed.sources import datasource, retention, shards, sidecar
 from siltbed.streaming import cycle
 from siltbed.streaming.packing import pack_stream
 
@@ -155,6 +155,36 @@ def stream_pack_window(s, d):
     return s.read.parquet(f"{folder}/out").select("uid", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
+@query(f"{_PAY} select uid, sha256(payload) checksum, size_bytes \"size\" from pay")
+def shard_source(s, d):
+    """The folder again, through spark.read.format."""
+    p = v.payloads(s, d).withColumn("shard_file", F.concat(F.date_format("created_at", "yyyyMMdd"), F.lit("_00_0000.des")))
+    folder = _scratch(s, "shards")
+    shards.write_shards(p, folder, threshold=BIG).write.mode("overwrite").parquet(f"{folder}/manifest")
+    datasource.register(s)
+    return s.read.format("shard").load(folder).select("uid", F.sha2("payload", 256).alias("checksum"), "size")
+
+
+@query(f"{_PAY} select uid, sha256(payload) checksum from pay where doc_id % 6 = 0 and doc_id % 9 <> 0")
+def extended_copies(s, d):
+    """Copies of what is extended for the first time, read back."""
+    p = v.payloads(s, d)
+    known = p.where("doc_id % 9 = 0").select("uid", "created_at", ntz("2030-01-01 00:00:00").alias("due_date"))
+    requests = p.where("doc_id % 3 = 0").select("uid", "created_at", F.when(F.col("doc_id") % 2 == 0, ntz("2031-01-01 00:00:00")).otherwise(ntz("2020-01-01 00:00:00")).alias("due_date"))
+    folder = _scratch(s, "extended")
+    actions, _ = retention.extend(known, requests, p, folder, ntz("2024-02-01 00:00:00"))
+    moved = p.join(actions.where("action = 'moved'").select("uid", "created_at"), ["uid", "created_at"], "left_semi")
+    retention.copy(moved, folder).write.mode("overwrite").parquet(f"{folder}/_copied")
+    return retention.read(s.read.parquet(f"{folder}/_copied")).select("uid", F.sha2("payload", 256).alias("checksum"))
+
+
+@query(f"with {v.SQL_ROUTED} select uid, date_dir, shard_index, shard_hex, object_key from located")
+def sql_functions(s, d):
+    """Routing once more, in SQL with the engine's functions."""
+    register.register(s)
+    return s.sql("select uid, date_dir(created_at) date_dir, shard_index(uid, 4) shard_index, shard_hex(shard_index(uid, 4), 4) shard_hex, object_key(date_dir(created_at), shard_hex(shard_index(uid, 4), 4)) object_key from {files}", files=v.files(s, d))
+
+
 # --- sources and URIs
 
 _PLACE = "case ord % 5 when 0 then 's3://bucket-' || ord % 3 || '/day/' || uid when 1 then 's3:///' || uid when 2 then 's3://bucket/' || uid || '?x=1' when 3 then '/data/' || uid else 's3://bucket/' end"
@@ -282,7 +312,7 @@ def time_until_expiration(s, d):
 
 @query(f"{_F} select uid, ord % 5 retry_count from files where ord % 5 < 3")
 def retry_backlog(s, d):
-    return v.files(s, d).select("uid", (F.col("ord") % 5).alias("retry_count")).where("retry_count < 3")
+    return archive.retry_backlog(v.files(s, d).select("uid", (F.col("ord") % 5).alias("retry_count")))
 
 
 # --- requests: accepted-only states, verified by a recursion in SQL

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from siltbed.functions import routing as r
 from siltbed.functions import signatures
-from siltbed.operators import access, archive, metrics, monitoring, planner
-from siltbed.sources import config, files, shard_format, shards, sidecar
+from siltbed.operators import access, archive, metrics, monitoring, planner, report
+from siltbed.sources import config, datasource, files, retention, shard_format, shards, sidecar, tables
 from siltbed.sources.state import State
 from siltbed.streaming import cycle
 from siltbed.streaming.packing import pack_stream
@@ -374,3 +374,52 @@ def test_stream_of_payloads(spark, tmp_path):
     assert sum(m["file_count"] for m in made) == 12 and len({m["shard_file"] for m in made}) == len(made) == 6
     entries = shards.read_entries(shards.list_shards(spark, f"{out}/batch=*"))
     assert entries.count() == 12
+
+
+def test_extended_retention(spark, tmp_path):
+    """First calls copy, later ones replace the due date, past dates and unknown files are refused."""
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    payloads = spark.createDataFrame([("a", b"one"), ("b", b"two")], "uid string, payload binary").withColumn("created_at", at("2024-01-01 01:00:00"))
+    none = payloads.limit(0).select("uid", "created_at").withColumn("due_date", at("2024-01-01"))
+    requests = lambda *rows: spark.createDataFrame(rows, "uid string, due string").select("uid", at("2024-01-01 01:00:00").alias("created_at"), F.col("due").cast("timestamp_ntz").alias("due_date"))
+    folder = f"file://{tmp_path}/ext"
+    actions, known = retention.extend(none, requests(("a", "2030-01-01"), ("b", "2020-01-01"), ("c", "2030-01-01")), payloads, folder, at("2024-02-01"))
+    assert {r["uid"]: r["action"] for r in actions.collect()} == {"a": "moved", "b": "rejected", "c": "missing"}
+    assert [(r["uid"], str(r["due_date"])) for r in known.collect()] == [("a", "2030-01-01 00:00:00")]
+    assert (tmp_path / "ext/_ext_retention/20240101/a_2024-01-01T01:00:00Z.dat").read_bytes() == b"one"
+    actions, after = retention.extend(known, requests(("a", "2029-01-01")), payloads, folder, at("2024-02-01"))
+    assert actions.first()["action"] == "updated"
+
+
+def test_shard_source_options(spark, tmp_path):
+    datasource.register(spark)
+    for day in (1, 2):
+        shard, _ = shard_format.write([("u", b"x" * day, None)])
+        (tmp_path / f"2024010{day}_0A_0000.des").write_bytes(shard)
+    read = spark.read.format("shard").option("path", f"file://{tmp_path}")
+    assert read.load().count() == 2
+    one = read.option("date_dir", "20240102").option("includePayload", "false").load().collect()
+    assert [(r["shard_file"], r["size"], r["payload"]) for r in one] == [("20240102_0A_0000.des", 2, None)]
+
+
+def test_tables(spark, tmp_path):
+    spark.sql(f"create database if not exists siltbed_test location 'file://{tmp_path}/db'")
+    try:
+        for _ in range(2):
+            tables.create(spark, "siltbed_test")
+        rows = spark.createDataFrame([(1, "a", "active")], "id long, uid string, status string")
+        tables.append(spark, "siltbed_test", rows)
+        assert spark.table("siltbed_test.files").first()["uid"] == "a"
+        with pytest.raises(Exception, match="unknown status"):
+            tables.append(spark, "siltbed_test", rows.withColumn("status", F.lit("odd")))
+        for _ in range(2):
+            tables.alter(spark, "siltbed_test", "cases", "owner string, department string")
+        assert spark.table("siltbed_test.cases").columns[-1] == "owner"
+    finally:
+        spark.sql("drop database siltbed_test cascade")
+
+
+def test_reports(spark):
+    row = spark.createDataFrame([(3, 5 << 20, "a", None)], "total_files long, total_size_bytes long, oldest string, newest string")
+    assert report.statistics(row) == "files: 3\nsize: 5.00 MiB\noldest: a\nnewest: -"
+    assert report.packed(spark.createDataFrame([(2, 10), (1, 5)], "file_count long, total_size long")) == "2 shards, 3 files, 15 B"
