@@ -82,6 +82,11 @@ class Cut:
         return doc[new], spot[new], np.diff(np.concatenate([new, [len(doc)]])), value[new]
 
 
+def _tag(id_: int, more: int) -> np.uint64:
+    """A hash of an id, of any value, and a number."""
+    return b.mix(b.mix(np.array([id_], np.int64).view(np.uint64)) + b.U(more))[0]
+
+
 def _packed(flat: bytes, cut: Cut, starts, ends, spot, wins) -> list[bytes]:
     return [flat[x:y] for x, y in zip(starts[spot].tolist(), ends[spot + wins + cut.k - 2].tolist(), strict=True)]
 
@@ -100,7 +105,7 @@ def hot_minimisers(keyed: DataFrame, cut: Cut) -> tuple[np.ndarray | None, int]:
             whole = b.mix(value + hashes[spot] * b.U(3) + hashes[spot + wins + cut.k - 2] * b.U(5) + wins.astype(np.uint64))
             _, keep = np.unique(whole, return_index=True)
             found, n = np.unique(value[keep], return_counts=True)
-            batch = b.mix(np.array([int(ids[0]) * 31 + int(offset[0]) + len(flat)], np.int64).view(np.uint64))[0]
+            batch = _tag(ids[0], int(offset[0]) + len(flat))
             picked = b.mix(found ^ batch) % b.U(SAMPLED) == 0
             often = (n > 1) | picked
             n = np.where(n > 1, n, SAMPLED)
@@ -205,7 +210,7 @@ def covers(keyed: DataFrame, cut: Cut, solve: Callable) -> DataFrame:
                 out_block.append(int(block[x]))
                 out_blob.append(_pack(ids[doc[own]], fps[doc[own]], at[own], wins[own], tag[own], [strings[i] for i in own.tolist()]))
             if len(again):  # already known to be repeated: bounds without a string
-                out_block.append(int(b.mix(np.array([len(flat) * 2654435761 + int(ids[doc[again[0]]])], np.int64).view(np.uint64))[0] % b.U(blocks)))
+                out_block.append(int(_tag(ids[doc[again[0]]], len(flat)) % b.U(blocks)))
                 out_blob.append(_pack(ids[doc[again]], fps[doc[again]], at[again], wins[again], np.zeros(len(again)), [b""] * len(again)))
             yield pa.RecordBatch.from_arrays([pa.array(out_block, pa.int64()), pa.array(out_blob, pa.binary())], ["block", "blob"])
 
@@ -234,7 +239,8 @@ def covers(keyed: DataFrame, cut: Cut, solve: Callable) -> DataFrame:
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))
     met = keyed.mapInArrow(send, "block long, blob binary").repartition(parts, "block").groupBy("block").applyInArrow(meet, _COVER)
-    return met if hot is None else met.unionByName(_hot_covers(keyed, cut, shipped))
+    found = met if hot is None else met.unionByName(_hot_covers(keyed, cut, shipped))
+    return b.written(found, "covers")  # frees what the blocks took on disk before texts are sent
 
 
 def _hot_covers(keyed: DataFrame, cut: Cut, shipped) -> DataFrame:
