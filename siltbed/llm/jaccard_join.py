@@ -21,7 +21,8 @@ from above, and the greater counts of several rows are the row of their union.
 3. Where chunks meet, members are laid out in groups of GROUP similar ones, each with the row of its union: a
    token-group matrix. A member is held against a group's members only if the bound on its overlap with the union
    allows a link, and only against other components. Members without a possible partner leave; no text has moved.
-4. For the rest the same is done with the unions of the shingles themselves, which counts overlaps exactly.
+4. The rest falls into families, buckets that share members, so that each text is needed once. Families are dealt
+   into chunks in the same way, now with the unions of the shingles themselves, which counts overlaps exactly.
 5. Links make components; a document's class carries its component back to it.
 
 No task holds more than two chunks, and there is one way for buckets of every size.
@@ -265,6 +266,40 @@ def matrix_links(sets_a, ids_a, comp_a, sets_b, ids_b, comp_b, t: int) -> list[t
     return found
 
 
+def _dealt(placed: DataFrame, cells: DataFrame, t: int) -> DataFrame:
+    """(token, lo, hi, kind, n, comp, role) from the members (token, kind, n, comp) of buckets: their chunks, wherever two meet (roles 0 and 1) or one
+    is held against itself (role 2). Buckets of one component are left out."""
+    placed = b.written(placed, "placed")
+    held = placed.groupBy("token", "comp").agg(F.sum("n").alias("own"), F.count("*").alias("rows"))
+    per = held.groupBy("token").agg(F.count("*").alias("comps"), F.sum("rows").alias("size"), F.sum(F.when(F.col("own") <= CHUNK // 2, F.col("own"))).alias("small")).where("comps > 1")
+    per = b.written(per.select("token", "size", F.ceil(F.coalesce("small", F.lit(1)) / CHUNK).cast("int").alias("parts")), "open")
+    large = b.written(held.where(F.col("own") > CHUNK // 2).select("token", "comp", F.ceil(F.col("own") / CHUNK).cast("int").alias("own_parts")), "large")
+    part = F.when(F.col("own_parts").isNull(), F.pmod(F.xxhash64("comp"), "parts")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("kind"), "own_parts")))
+    pure = F.when(F.col("own_parts").isNotNull(), F.col("comp"))
+    members = b.join_sized(placed, per, ["token"]).join(large, ["token", "comp"], "left")
+    members = b.written(members.select("token", "kind", "n", "comp", part.alias("chunk"), pure.alias("pure")), "members")
+    chunks = members.groupBy("token", "chunk").agg(F.first("pure").alias("pure"), F.min("n").alias("least"))
+    several = b.written(chunks.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
+
+    def unite(table: pa.Table) -> pa.Table:
+        row = union_row(table.column("cells").to_pylist())
+        return pa.table({"token": table.column("token")[:1], "chunk": table.column("chunk")[:1], "row": pa.array([row], pa.binary()), "least": pa.array([min(table.column("n").to_pylist())], pa.int32()), "pure": table.column("pure")[:1]})
+
+    def meet(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk").to_numpy()
+        x, y = meeting_chunks(table.column("row").to_pylist(), table.column("least").to_numpy().astype(np.int64), table.column("pure").to_pylist(), t)
+        return pa.table({"token": pa.array(np.full(len(x), table.column("token")[0].as_py()), pa.int64()), "lo": chunk[x], "hi": chunk[y]})
+
+    # a bucket of one chunk has that one meeting
+    unions = members.join(several, "token").join(cells, "kind").select("token", "chunk", "pure", "n", "cells").groupBy("token", "chunk").applyInArrow(unite, "token long, chunk long, row binary, least int, pure long")
+    meetings = b.written(unions.groupBy("token").applyInArrow(meet, "token long, lo long, hi long"), "meetings")
+    side = lambda c, role: F.struct(F.col(c).alias("chunk"), F.lit(role).alias("role"))
+    sides = F.when(F.col("lo") == F.col("hi"), F.array(side("lo", 2))).otherwise(F.array(side("lo", 0), side("hi", 1)))
+    met = members.join(meetings.select("token", "lo", "hi", F.inline(sides)), ["token", "chunk"]).select("token", "lo", "hi", "kind", "n", "comp", "role")
+    alone = members.join(several, "token", "left_anti").select("token", F.col("chunk").alias("lo"), F.col("chunk").alias("hi"), "kind", "n", "comp", F.lit(2).alias("role"))
+    return alone.union(met)
+
+
 def labelled_rows(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     """(_id, _fp, n) for every row of docs, and (_id, _fp, comp) for every row with words; a component is named by a class."""
     keyed = b.keyed(docs, id_col, text_col)
@@ -346,47 +381,22 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -
     with_both = with_x.join(texts.select(F.col("kind").alias("y"), F.col("packed").alias("py")), "y").select("x", "y", "px", "py")
     stars = b.written(with_both.mapInArrow(_verify(k, t), "x long, y long, ok boolean").where("ok").select("x", "y"), "stars")
 
-    # chunks of the buckets that the stars have not settled
+    # what the stars have not settled: first by cells in each bucket, then by texts in families of buckets that share members, so that a text is needed once
     comps = components(stars)
-    placed = b.written(met.select("token", "kind", "n").join(comps.withColumnRenamed("node", "kind"), "kind", "left").select("token", "kind", "n", F.coalesce("comp", "kind").alias("comp")), "placed")
-    held = placed.groupBy("token", "comp").agg(F.sum("n").alias("own"), F.count("*").alias("rows"))
-    per = held.groupBy("token").agg(F.count("*").alias("comps"), F.sum("rows").alias("size"), F.sum(F.when(F.col("own") <= CHUNK // 2, F.col("own"))).alias("small")).where("comps > 1")
-    per = b.written(per.select("token", "size", F.ceil(F.coalesce("small", F.lit(1)) / CHUNK).cast("int").alias("parts")), "open")
-    large = b.written(held.where(F.col("own") > CHUNK // 2).select("token", "comp", F.ceil(F.col("own") / CHUNK).cast("int").alias("own_parts")), "large")
-    members = b.join_sized(placed, per, ["token"]).join(large, ["token", "comp"], "left")
-    part = F.when(F.col("own_parts").isNull(), F.pmod(F.xxhash64("comp"), "parts")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("kind"), "own_parts")))
-    pure = F.when(F.col("own_parts").isNotNull(), F.col("comp"))
-    members = b.written(members.select("token", "kind", "n", "comp", part.alias("chunk"), pure.alias("pure")), "members")
-    chunks = b.written(members.groupBy("token", "chunk").agg(F.first("pure").alias("pure"), F.min("n").alias("least")), "chunks")
-    alone = chunks.groupBy("token").agg(F.count("*").alias("n"), F.min("chunk").alias("lo")).where("n = 1").select("token", "lo", F.col("lo").alias("hi"))
-    several = b.written(chunks.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
-
-    def unite(table: pa.Table) -> pa.Table:
-        row = union_row(table.column("cells").to_pylist())
-        return pa.table({"token": table.column("token")[:1], "chunk": table.column("chunk")[:1], "row": pa.array([row], pa.binary())})
-
-    def meet(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk").to_numpy()
-        x, y = meeting_chunks(table.column("row").to_pylist(), table.column("least").to_numpy(), table.column("pure").to_pylist(), t)
-        return pa.table({"token": pa.array(np.full(len(x), table.column("token")[0].as_py()), pa.int64()), "lo": chunk[x], "hi": chunk[y]})
-
-    unions = members.join(several, "token").select("token", "chunk", "kind").join(cells, "kind").groupBy("token", "chunk").applyInArrow(unite, "token long, chunk long, row binary")
-    meetings = unions.join(chunks, ["token", "chunk"]).select("token", "chunk", "row", "least", "pure").groupBy("token").applyInArrow(meet, "token long, lo long, hi long")
-    meetings = b.written(alone.union(meetings), "meetings")
-    sides = meetings.select("token", "lo", "hi", F.explode(F.when(F.col("lo") == F.col("hi"), F.array(F.struct(F.col("lo").alias("chunk"), F.lit(2).alias("role")))).otherwise(F.array(F.struct(F.col("lo").alias("chunk"), F.lit(0).alias("role")), F.struct(F.col("hi").alias("chunk"), F.lit(1).alias("role"))))).alias("s"))
-    work = members.join(sides.select("token", "lo", "hi", "s.chunk", "s.role"), ["token", "chunk"]).select("token", "lo", "hi", "kind", "n", "comp", "role").join(cells, "kind")
+    placed = met.select("token", "kind", "n").join(comps.withColumnRenamed("node", "kind"), "kind", "left").select("token", "kind", "n", F.coalesce("comp", "kind").alias("comp"))
 
     def qualify(table: pa.Table) -> pa.Table:
         n, comp, role = (table.column(c).to_numpy() for c in ("n", "comp", "role"))
         keep = qualifying(table.column("cells").to_pylist(), n.astype(np.int64), comp, role, t)
-        return table.select(["token", "lo", "hi", "kind", "comp", "role"]).filter(pa.array(keep))
+        return table.select(["token", "lo", "hi", "kind", "n", "comp"]).filter(pa.array(keep))
 
-    qualified = b.written(work.groupBy("token", "lo", "hi").applyInArrow(qualify, "token long, lo long, hi long, kind long, comp long, role int"), "qualified")
-    same = qualified.groupBy("token", "lo", "hi").agg(*halves(F.xxhash64("kind", "role")), F.count("*").alias("size"))
-    heads = b.written(same.groupBy("high", "low", "size").agg(F.min(F.struct("token", "lo", "hi")).alias("h")).select("h.*"), "heads")
-    work = qualified.join(heads, ["token", "lo", "hi"])
+    work = _dealt(placed, cells, t).join(cells, "kind")
+    qualified = b.written(work.groupBy("token", "lo", "hi").applyInArrow(qualify, "token long, lo long, hi long, kind long, n int, comp long"), "qualified")
+    least_kind = qualified.groupBy("token", "lo", "hi").agg(F.min("kind").alias("x"))
+    family = components(qualified.join(least_kind, ["token", "lo", "hi"]).select("x", F.col("kind").alias("y"))).select(F.col("node").alias("kind"), F.col("comp").alias("token"))
+    relatives = qualified.select("kind", "n", "comp").distinct().join(family, "kind").select("token", "kind", "n", "comp")
     texts = texts.union(class_texts(qualified.select("kind").distinct().join(texts.select("kind"), "kind", "left_anti")))
-    work = work.join(texts, "kind").select("token", "lo", "hi", "kind", "comp", "role", "packed")
+    work = _dealt(relatives, cells, t).join(texts, "kind").select("token", "lo", "hi", "kind", "comp", "role", "packed")
 
     def open_groups(table: pa.Table) -> pa.Table:
         ids, comp, role = (table.column(c).to_numpy() for c in ("kind", "comp", "role"))
@@ -405,8 +415,9 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, t: int = 80) -> DataFrame:
     """id, n_shingles, component_id for every row of docs; documents link at a similarity of t percent or more."""
     rows, labelled = labelled_rows(docs, id_col, text_col, k, t)
-    least = labelled.groupBy("comp").agg(F.min("_id").alias("component"))
-    per_row = labelled.join(least, "comp").groupBy("_id", "_fp").agg(F.min("component").alias("component"))
+    labelled = b.written(labelled, "labelled")
+    least = b.written(labelled.groupBy("comp").agg(F.min("_id").alias("component"), F.count("*").alias("size")), "least-ids")
+    per_row = b.join_sized(labelled, least, ["comp"]).groupBy("_id", "_fp").agg(F.min("component").alias("component"))
     out = rows.join(per_row, ["_id", "_fp"], "left")
     component = F.coalesce("component", "_id")
     return out.select(b.unkeyed().alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(component != b.NULL_ID, component).alias("component_id"))
