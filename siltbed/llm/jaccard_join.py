@@ -362,7 +362,7 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, k: int, t: int) -
     first = light.groupBy("kind").agg(F.min(F.struct("_id", "_fp")).alias("place"))
 
     def class_texts(kinds: DataFrame) -> DataFrame:
-        wanted = b.written(first.join(kinds, "kind").select("kind", "place._id", "place._fp"), "wanted")
+        wanted = first.join(kinds, "kind").select("kind", "place._id", "place._fp")  # a share of all rows, so no broadcast at any size
         return b.written(keyed.join(wanted, ["_id", "_fp"]).select("kind", "_text").mapInArrow(shrink, "kind long, packed binary").dropDuplicates(["kind"]), "class-texts")
 
     # stars
