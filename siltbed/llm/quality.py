@@ -4,16 +4,16 @@ Spark counts the 4-grams of characters of every whole text for each language and
 an interpolated modified Kneser-Ney model of them: continuation counts, discounts and
 probabilities are aggregations and joins. A model is stored as sorted arrays of 64-bit
 gram hashes (four 16-bit character hashes, so that contexts and suffixes are bits of
-it), one for each order, with their bits and the weights of contexts. Models lie in
-files that Spark brings to each executor, and a worker holds HELD files at a time, so
-memory grows neither with the languages nor on the driver.
+it) with the bits of each gram. It is dealt by gram over files that Spark brings to each
+executor, and workers map these, so memory grows neither with the model nor on the driver.
 
 Every document is scored with the model of its language, and the language's own lower
 and upper perplexity bands - its median and spread over all documents - reject what is
 too odd or too monotonous.
 
-An order's grams that are rarer than FLOOR of all are left to the next lower order: a
-model has at most 1 / FLOOR entries of each kind, however large the corpus.
+A model has every 4-gram of its corpus, however rare. The texts that are scored are those
+that were counted, so each of their grams is in it: lower orders go into its bits by
+interpolation and are not needed beside them.
 
 Defined cases: null or empty text: no words, fails. Null languages form a language
 of their own. Rows that repeat are counted and judged each. Empty tables give empty results.
@@ -21,21 +21,20 @@ of their own. Rows that repeat are counted and judged each. Empty tables give em
 
 from __future__ import annotations
 
+import json
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm import base as b
 
-#: Width of the perplexity histogram's bins, in bits a symbol; share of the least frequent gram kept; bytes of a model file; files in a worker.
-BIN, FLOOR, FILE_BYTES, HELD = 0.005, 2.0**-20, 16 << 20, 2
+#: Width of the perplexity histogram's bins, in bits a symbol; bytes of a model file.
+BIN, FILE_BYTES = 0.005, 4 << 20
 ORDER = 4
 _SYMBOLS = bytes(c for c in range(256) if c not in b"#*$%&|<>")
 
@@ -74,91 +73,108 @@ def _suffix(order: int) -> Column:
 
 
 def _totals(counts: DataFrame, order: int) -> DataFrame:
-    """(lang, whole, d1, d2, d3): the sum of counts, and what modified Kneser-Ney takes from counts of one, two, and three or more, from
+    """(lang, d1, d2, d3): what modified Kneser-Ney takes from counts of one, two, and three or more, from
     the numbers of counts. One row a language, written, so that joins with it are no shuffles by language while it is small."""
-    n = counts.groupBy("lang").agg(F.sum("n").alias("whole"), *[F.greatest(F.lit(1.0), F.count_if(F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    n = counts.groupBy("lang").agg(*[F.greatest(F.lit(1.0), F.count_if(F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     cut = lambda i: F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.1)), F.lit(i - 0.05))
-    return b.written(n.select("lang", "whole", *[cut(i).alias(f"d{i}") for i in (1, 2, 3)]), f"totals-{order}")
+    return b.written(n.select("lang", *[cut(i).alias(f"d{i}") for i in (1, 2, 3)]), f"totals-{order}")
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, kind, gram, bits): kind k for the probability of a gram of k characters after its context, 10 + k for the weight of
-    lower orders after a context of k characters, 0 for a character never seen; from (lang, gram, n)."""
+    """(lang, gram, bits), written: of every counted gram, however rare, -log2 of the probability of its last character after the others; from (lang, gram, n)."""
     levels = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before
         levels[order] = b.written(levels[order + 1].groupBy("lang", _suffix(order + 1).alias("gram")).agg(F.count("*").alias("n")), f"grams-{order}")
-    unseen = b.written(levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("below")), "unseen")
-    parts = [unseen.select("lang", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("gram"), F.col("below").alias("p"), F.lit(True).alias("keep"))]
-    lower = unseen
+    lower = b.written(levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("below")), "unseen")
     for order in range(1, ORDER + 1):
-        c = levels[order].join(_totals(levels[order], order), "lang").withColumn("context", F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("long"))
+        context = F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("long")
         taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        after = b.written(c.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum(taken) / F.sum("n")).alias("left"), F.first("whole").alias("whole_")), f"contexts-{order}")
-        rows = c.join(after, ["lang", "context"])
-        rows = rows.join(lower, "lang") if order == 1 else rows.withColumn("suffix", _suffix(order)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
-        p = (F.col("n") - taken) / F.col("total") + F.col("left") * F.col("below")
-        lower = b.written(rows.select("lang", "gram", p.alias("p"), (F.col("n") >= FLOOR * F.col("whole")).alias("keep")), f"order-{order}")
-        parts.append(lower.select("lang", F.lit(order).alias("kind"), "gram", "p", "keep"))
-        kept = after.select("lang", F.lit(9 + order).alias("kind"), F.col("context").alias("gram"), F.col("left").alias("p"), (F.col("total") >= FLOOR * F.col("whole_")).alias("keep"))
-        parts.append(kept)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.where("keep").select("lang", "kind", "gram", (-F.log2(F.greatest("p", F.lit(1e-12)))).cast("float").alias("bits"))
+        c = levels[order].join(_totals(levels[order], order), "lang").select("lang", "gram", context.alias("context"), "n", taken.alias("taken"))
+        after = b.written(c.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("taken") / F.sum("n")).alias("left")), f"contexts-{order}")
+        # what is shuffled is narrow, and numbers, which sort faster, come first in keys
+        rows = c.join(after, ["context", "lang"]).select("lang", "gram", ((F.col("n") - F.col("taken")) / F.col("total")).alias("own"), "left")
+        rows = rows.join(lower, "lang") if order == 1 else rows.withColumn("suffix", _suffix(order)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["suffix", "lang"])
+        p = F.col("own") + F.col("left") * F.col("below")  # above 0, as less is taken than counted
+        found = b.written(rows.select("lang", "gram", p.alias("p") if order < ORDER else (-F.log2(p)).cast("float").alias("bits")), f"order-{order}")
+        b.drop_tables(lower, after, *[levels[order]] * (order < ORDER))
+        lower = found
+    return lower
+
+
+def packed(langs: pa.ChunkedArray, grams: np.ndarray, bits: np.ndarray) -> bytes:
+    """A model file: the size of what tells the number of grams of each language, that, all grams sorted by language and gram, and their bits."""
+    langs = langs.combine_chunks().dictionary_encode()
+    code = langs.indices.to_numpy()
+    order = np.lexsort((grams, code))
+    head = json.dumps([*zip(langs.dictionary.to_pylist(), np.bincount(code).tolist(), strict=True)]).encode()
+    head += b" " * (-len(head) % 8)  # numbers stand at multiples of their size
+    return np.uint64(len(head)).tobytes() + head + grams[order].tobytes() + bits[order].astype(np.float32).tobytes()
+
+
+def mapped(path: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams and bits of each language of a model file. What is looked up is read; it belongs to the system's cache, not to the worker."""
+    data = np.memmap(path, np.uint8, "r")
+    begin = 8 + int(data[:8].view(np.uint64)[0])
+    sizes = json.loads(data[8:begin].tobytes())
+    n = sum(size for _, size in sizes)
+    grams, bits = data[begin : begin + 8 * n].view(np.uint64), data[begin + 8 * n : begin + 12 * n].view(np.float32)
+    found, at = {}, 0
+    for lang, size in sizes:
+        found[lang] = grams[at : at + size], bits[at : at + size]
+        at += size
+    return found
+
+
+def file_of(grams: np.ndarray, files: int) -> np.ndarray:
+    return (b.mix(grams) % b.U(files)).astype(np.min_scalar_type(files))
 
 
 class Model:
-    """Sorted arrays of gram hashes with their bits, by kind."""
+    """The mapped files of a model."""
 
-    def __init__(self, kinds: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.kinds = kinds
+    def __init__(self, paths: list[str]):
+        self.files = [mapped(p) if p else {} for p in paths]
 
-    def _find(self, kind: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which grams are there, and the bits of all (0 for the others)."""
-        keys, bits = self.kinds.get(kind, (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
-        if not len(keys):
-            return np.zeros(len(grams), bool), np.zeros(len(grams), np.float32)
-        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-        hit = keys[at] == grams
-        return hit, np.where(hit, bits[at], np.float32(0))
-
-    def bits(self, grams: np.ndarray) -> np.ndarray:
+    def bits(self, lang: str, grams: np.ndarray) -> np.ndarray:
         """-log2 of the probability of each gram's last character after the others."""
-        out = np.zeros(len(grams), np.float32)
-        left = np.arange(len(grams))
-        for order in range(ORDER, 0, -1):
-            own = grams[left] & b.U(2 ** (16 * order) - 1)
-            hit, found = self._find(order, own)
-            out[left[hit]] += found[hit]
-            left, own = left[~hit], own[~hit]
-            if not len(left):
-                return out
-            _, weight = self._find(9 + order, own >> b.U(16))
-            out[left] += weight
-        out[left] += self.kinds[0][1][0]
-        return out
+        own, back = np.unique(grams, return_inverse=True)
+        out = np.empty(len(own), np.float32)
+        file = file_of(own, len(self.files))
+        order = np.argsort(file, kind="stable")
+        spots = np.split(order, np.cumsum(np.bincount(file, minlength=len(self.files)))[:-1])
+        for i in np.flatnonzero([len(x) for x in spots]):
+            keys, bits = self.files[i].get(lang, (own[:0], out[:0]))
+            at = np.searchsorted(keys, own[spots[i]])
+            if not len(keys) or at.max() == len(keys) or (keys[at] != own[spots[i]]).any():
+                raise ValueError(f"a gram of {lang!r} was not counted: the documents differ from one reading to the next")
+            out[spots[i]] = bits[at]
+        return out[back]
 
 
 def model_files(model: DataFrame) -> list[str]:
-    """Names of files that Spark brings to every executor; a language's model is in file crc32(language) modulo their number."""
+    """Names of files that Spark brings to every executor; a gram is in file_of(gram, their number)."""
     spark = model.sparkSession
     n = max(1, -(-model.count() * 12 // FILE_BYTES))
-    kinds = pa.schema([("lang", pa.string()), ("file", pa.int32()), ("kind", pa.int32()), ("grams", pa.binary()), ("bits", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            file = file_of(batch.column(1).to_numpy().view(np.uint64), n)
+            yield pa.RecordBatch.from_arrays([pa.array(file.astype(np.int32)), *batch.columns], ["file", "lang", "gram", "bits"])
 
     def pack(table: pa.Table) -> pa.Table:
-        lang, kind = table.column("lang")[0].as_py(), table.column("kind")[0].as_py()
-        order = np.argsort(table.column("gram").to_numpy().view(np.uint64))
-        grams, bits = (table.column(c).to_numpy()[order] for c in ("gram", "bits"))
-        return pa.Table.from_pylist([{"lang": lang, "file": zlib.crc32(lang.encode()) % n, "kind": kind, "grams": grams.tobytes(), "bits": bits.astype(np.float32).tobytes()}], kinds)
+        data = packed(table.column("lang"), table.column("gram").to_numpy().view(np.uint64), table.column("bits").to_numpy())
+        return pa.table({"file": table.column("file").slice(0, 1), "data": pa.array([data], pa.binary())})
 
     path = b.shared_dir(spark, "models")
-    model.groupBy("lang", "kind").applyInArrow(pack, "lang string, file int, kind int, grams binary, bits binary").repartition("file").write.partitionBy("file").parquet(path)
+    dealt = model.select("lang", "gram", "bits").mapInArrow(deal, "file int, lang string, gram long, bits float")
+    data = dealt.groupBy("file").applyInArrow(pack, "file int, data binary")
+    data.select("file", F.col("data").cast("string")).write.partitionBy("file").option("compression", "none").text(path)  # bytes as they are
     names = []
     for i in range(n):
         folder, system = b.hadoop(spark, f"{path}/file={i}")
         name = f"{path.rpartition('/')[2]}-{i}.model"
-        found = [s.getPath() for s in system.listStatus(folder) if s.getPath().getName().endswith(".parquet")] if system.exists(folder) else []
+        found = [s.getPath() for s in system.listStatus(folder) if s.getPath().getName().endswith(".txt")] if system.exists(folder) else []
         for old in found:  # one: rows of a file are one partition's
             new, _ = b.hadoop(spark, f"{path}/{name}")
             system.rename(old, new)
@@ -167,21 +183,6 @@ def model_files(model: DataFrame) -> list[str]:
     return names
 
 
-_held: dict[str, dict[str, Model]] = {}
-
-
-def held(name: str) -> dict[str, Model]:
-    """The models of a file, from the worker's memory of the last few."""
-    if name not in _held:
-        while len(_held) >= HELD:
-            del _held[next(iter(_held))]
-        found: dict[str, dict] = {}
-        for row in pq.read_table(SparkFiles.get(name), partitioning=None).to_pylist() if name else ():
-            found.setdefault(row["lang"], {})[row["kind"]] = (np.frombuffer(row["grams"], np.uint64), np.frombuffer(row["bits"], np.float32))
-        _held[name] = {lang: Model(kinds) for lang, kinds in found.items()}
-    return _held[name]
-
-
 def _repeat_words(flat: bytes, starts, ends, counts, width: int = 3) -> np.ndarray:
     """Of each text, the words in windows of `width` words that the text has twice or more."""
     h = b.word_hashes(np.frombuffer(flat, np.uint8), starts, ends)
@@ -223,9 +224,13 @@ def bands(scored: DataFrame, below: float, above: float) -> DataFrame:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_repeat: float = 0.5, below: float = 8.0, above: float = 8.0) -> DataFrame:
     """id, the base counts, base_failed, kept, bits (all characters, for each letter), low, high (bands of the language); for every row."""
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    files = model_files(b.written(kneser_ney(b.written(count_grams(text), "grams-4")), "model"))
+    counts = b.written(count_grams(text), "grams-4")
+    model = kneser_ney(counts)
+    files = model_files(model)
+    b.drop_tables(counts, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model([name and SparkFiles.get(name) for name in files])
         for batch, texts in b.pieces(batches, "_text"):
             langs = batch.column(1).to_pylist()
             flat, starts, ends, n = b.joined_words(texts, b.SPACED)
@@ -238,8 +243,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 dup.append(len(lines) - len(set(lines)))
             repeat = _repeat_words(flat, starts, ends, n)
             bits = np.full(len(texts), math.nan)
-            of = {lang: zlib.crc32(lang.encode()) % len(files) for lang in set(langs)}
-            for lang in sorted(of, key=of.__getitem__):  # languages of one file one after the other
+            for lang in dict.fromkeys(langs):
                 rows = np.flatnonzero([x == lang and len(t) > 0 for x, t in zip(langs, texts, strict=True)])
                 if not len(rows):
                     continue
@@ -247,7 +251,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 first = np.cumsum(sizes) - sizes
                 last = grams & b.U(0xFFFF)
                 letters = np.add.reduceat(((last >= 97) & (last <= 122)) | (last >= 128), first, dtype=np.int64)
-                bits[rows] = np.add.reduceat(held(files[of[lang]])[lang].bits(grams), first, dtype=np.float64) / np.maximum(letters, 1)
+                bits[rows] = np.add.reduceat(model.bits(lang, grams), first, dtype=np.float64) / np.maximum(letters, 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(np.array(chars) - np.array(white), pa.int64()), pa.array(symbols, pa.int64()), pa.array(dup, pa.int64()), pa.array(repeat, pa.int64()), pa.array(bits, pa.float64())],
                 ["_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits"],

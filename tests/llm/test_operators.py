@@ -363,6 +363,29 @@ def test_quality_of_many_languages(spark, monkeypatch):
     assert len(found) == 300 and all(r["bits"] > 0 and r["low"] < r["high"] for r in found)
 
 
+def test_quality_counts_rare_grams(spark, monkeypatch):
+    """Grams found once among more than 2^20 characters are in the model, whose files are several, as they are in the plain version."""
+    monkeypatch.setattr(quality, "FILE_BYTES", 20_000)
+    own = np.random.default_rng(11)
+    odd = " ".join("".join(own.choice(list("abcdefghijklmnopqrstuvwxyzжщы中文"), 7)) for _ in range(80))
+    rows = [(i, PASSAGE + prose(9000), "en") for i in range(24)] + [(100, odd, "en"), (101, odd[:300], "fr")]
+    assert sum(len(r[1]) for r in rows if r[2] == "en") > 2**20
+    found = {r["doc_id"]: r["bits"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i in (0, 100, 101):
+        text, lang = next((t, x) for d, t, x in rows if d == i)
+        p = plain_kneser_ney([t for _, t, x in rows if x == lang])
+        c = [" "] * 3 + plain_characters(text)
+        bits = sum(-np.log2(p("".join(c[j : j + 4]))) for j in range(len(text)))
+        assert abs(found[i] - bits / sum("a" <= x <= "z" or ord(x) >= 128 for x in c)) < 1e-3, i
+
+
+def test_model_has_every_gram(spark):
+    """The number of grams of the model is that of the counted ones, at counts far above 2^20 and of one alike."""
+    counts = spark.createDataFrame([("en", (97 << 48) + (98 << 32) + (i % 30 << 16) + i, 1 if i else 5_000_000) for i in range(300)], "lang string, gram long, n long")
+    model = quality.kneser_ney(counts)
+    assert model.where("bits > 0").select("gram").distinct().count() == 300
+
+
 def test_model_is_a_distribution():
     texts = ["the cat sat on the mat", "a cat on a mat", "tom"]
     p = plain_kneser_ney(texts)
